@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, pii, quality_rules
 from .common import table
 
 
@@ -27,5 +27,23 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(docs, vocabulary("byte_bpe_50k.json"), limit=512).drop("text")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_token_counts": op4_token_counts}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.apply(docs, model).drop("text")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "redacted")
+
+    def written(base: bool):
+        return F.array_join(F.transform(F.filter("pii_spans", lambda x: x["base"] | F.lit(not base)), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("pii_spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(written(True), 256).alias("base_sha256"), written(False).alias("spans"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op8_pii": op8_pii}
 ORACLE_SQL: dict[str, str] = {}
