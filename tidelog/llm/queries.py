@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, quality_rules
+from . import bpe, pii, quality_rules, rule_ensemble
 from .common import table
 
 
@@ -45,5 +45,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(written(True), 256).alias("base_sha256"), written(False).alias("spans"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op8_pii": op8_pii}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"))
+    return rule_ensemble.apply(docs, model, threshold=0.3).select("doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op8_pii": op8_pii, "op10_quality_classifier": op10_quality_classifier}
 ORACLE_SQL: dict[str, str] = {}
