@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, pii, quality_rules, rule_ensemble
+from . import bpe, language, pii, quality_rules, rule_ensemble, simhash
 from .common import table
 
 
@@ -27,6 +27,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(docs, vocabulary("byte_bpe_50k.json"), limit=512).drop("text")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = simhash.cluster(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -56,5 +61,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.apply(docs, model, threshold=0.3).select("doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op10_quality_classifier": op10_quality_classifier}
+QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op10_quality_classifier": op10_quality_classifier}
 ORACLE_SQL: dict[str, str] = {}
