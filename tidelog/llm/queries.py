@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, pii, quality_rules, rule_ensemble, simhash
+from . import bpe, decontaminate, language, pii, quality_rules, rule_ensemble, simhash
 from .common import table
 
 
@@ -55,11 +55,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(written(True), 256).alias("base_sha256"), written(False).alias("spans"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"))
     return rule_ensemble.apply(docs, model, threshold=0.3).select("doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op10_quality_classifier": op10_quality_classifier}
+QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_decontamination": op9_decontamination, "op10_quality_classifier": op10_quality_classifier}
 ORACLE_SQL: dict[str, str] = {}
