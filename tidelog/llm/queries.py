@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, pii, quality_rules, rule_ensemble, simhash
+from . import bpe, decontaminate, language, pii, quality_rules, rule_ensemble, simhash, substrings
 from .common import table
 
 
@@ -38,6 +38,19 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, model).drop("text")
 
 
+def substring_digests(docs: DataFrame) -> DataFrame:
+    every, changed = substrings.removals(docs)
+    left = changed.select(F.col("doc_id").alias("d"), F.col("sha").alias("s"), F.sha2("kept", 256).alias("rest"))
+    joined = every.join(left, (F.col("doc_id") == F.col("d")) & (F.col("sha") == F.col("s")), "left")
+    none = F.sha2(F.lit(""), 256)
+    kept = F.when(F.col("n_removed") == 0, F.col("sha")).when(F.col("rest").isNotNull(), F.col("rest")).otherwise(none)
+    return joined.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return language.identify(docs, language.learn(docs))
@@ -65,5 +78,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.apply(docs, model, threshold=0.3).select("doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_decontamination": op9_decontamination, "op10_quality_classifier": op10_quality_classifier}
+QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op5_substrings": op5_substrings, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_decontamination": op9_decontamination, "op10_quality_classifier": op10_quality_classifier}
 ORACLE_SQL: dict[str, str] = {}
