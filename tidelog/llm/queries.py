@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, pii, quality_rules, rule_ensemble, simhash, substrings
+from . import bpe, decontaminate, language, pii, quality_rules, rule_ensemble, simhash, substrings, warc
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return language.identify(docs, language.learn(docs))
@@ -78,5 +82,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.apply(docs, model, threshold=0.3).select("doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op5_substrings": op5_substrings, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_decontamination": op9_decontamination, "op10_quality_classifier": op10_quality_classifier}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op5_substrings": op5_substrings, "op6_warc": op6_warc, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_decontamination": op9_decontamination, "op10_quality_classifier": op10_quality_classifier}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+        SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM p LEFT JOIN f ON p.d = f.d AND n >= 100""",
+}
