@@ -1,4 +1,329 @@
 """All queries of the changelog engine and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.records import checksum
+from .model import Settings
+from .operators import commands as language
+from .operators import fold, measures, reads, replay
+from .plans import compaction
+from .sources import tables as t
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+MS = "epoch_us(ts) // 1000"
+#: Logs, each as a table expression in SQL.
+TOMB = f"SELECT event_id AS seq, {MS} AS ts_ms, 'user:' || lpad(user_id::VARCHAR, 8, '0') || ':' || event_type AS key, value, event_id % 7 = 3 AS tombstone, NULL::BIGINT AS expiry_ms FROM events"
+TTL = TOMB.replace("NULL::BIGINT AS expiry_ms", f"CASE WHEN event_id % 3 = 0 THEN {MS} + (1 + event_id % 72) * 3600000 END AS expiry_ms")
+ORDERS = "SELECT o_orderkey AS seq, 'cust:' || lpad(o_custkey::VARCHAR, 8, '0') AS key, o_totalprice AS value, o_orderkey % 7 = 3 AS tombstone, NULL::BIGINT AS expiry_ms FROM orders"
+TELEMETRY = f"SELECT event_id AS seq, event_type || ':' || lpad(user_id::VARCHAR, 8, '0') || ':' || lpad(({MS})::VARCHAR, 13, '0') AS key, value FROM events"
+PROBES = "SELECT c_custkey AS pos, 'cust:' || lpad((c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 10000000 ELSE 0 END)::VARCHAR, 8, '0') AS key FROM customer"
+COMMANDS = f"""SELECT event_id AS seq, {MS} AS ts, CASE event_type WHEN 'purchase' THEN 'WRITE' WHEN 'signup' THEN 'WRITETTL' WHEN 'error' THEN 'DELETE' WHEN 'click' THEN 'TTL' WHEN 'view' THEN 'READ' END AS op,
+    'user:' || lpad(user_id::VARCHAR, 8, '0') AS key, CASE WHEN event_type IN ('purchase', 'signup') THEN value END AS value,
+    CASE event_type WHEN 'signup' THEN (1 + event_id % 48) * 3600 WHEN 'click' THEN (event_id % 4) * 21600 END AS ttl FROM events"""
+REPLAY = f"""c0 AS ({COMMANDS}), c1 AS (SELECT *, CASE WHEN op IN ('WRITETTL', 'TTL') AND ttl > 0 THEN ts + ttl * 1000 END AS new_exp, op IN ('WRITE', 'WRITETTL') AS w FROM c0),
+    c2 AS (SELECT *, coalesce(sum((op IN ('WRITE', 'WRITETTL', 'DELETE'))::INT) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + w::INT AS epoch FROM c1),
+    heads AS (SELECT key, epoch, arg_min(op, seq) AS head, arg_min(value, seq) AS head_val FROM c2 GROUP BY ALL),
+    c3 AS (SELECT *, max(CASE WHEN op IN ('WRITE', 'WRITETTL', 'TTL') THEN seq END) OVER (PARTITION BY key, epoch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM c2),
+    c4 AS (SELECT c3.*, p.new_exp AS prev_exp FROM c3 LEFT JOIN c1 p ON p.seq = c3.prev),
+    c5 AS (SELECT *, max((NOT w AND coalesce(prev_exp <= ts, false))::INT) OVER (PARTITION BY key, epoch ORDER BY seq) AS failed FROM c4),
+    r AS (SELECT c5.seq, c5.key, op, head_val, CASE WHEN w OR (head IN ('WRITE', 'WRITETTL') AND failed = 0) THEN 'OK' ELSE 'NOT_FOUND' END AS status, ttl, value, ts, new_exp FROM c5 JOIN heads USING (key, epoch))"""
+
+
+def live_sql(log: str, where: str = "true", as_of: str = "(SELECT max(epoch_us(ts) // 1000) FROM events)") -> str:
+    return f"(SELECT key, value, expiry_ms FROM (SELECT * FROM ({log}) WHERE {where} QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE NOT tombstone AND (expiry_ms IS NULL OR expiry_ms > {as_of}))"
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def now(spark, d) -> int:
+    return fold.last_instant(t.mutations(spark, d))
+
+
+@query("kv_live_view", f"SELECT key, value, expiry_ms FROM {live_sql(TTL)}")
+def _(spark, d):
+    return fold.live(t.mutations(spark, d, ttl=True), now(spark, d))
+
+
+@query("kv_get", f"SELECT key, value FROM {live_sql(ORDERS, "key = 'cust:00000007'")}")
+def _(spark, d):
+    return reads.get(t.orders_log(spark, d), "cust:00000007", 0).select("key", "value")
+
+
+@query("kv_mget", f"SELECT pos, p.key, value, l.key IS NOT NULL AS found FROM ({PROBES}) p LEFT JOIN {live_sql(ORDERS)} l ON p.key = l.key")
+def _(spark, d):
+    return reads.mget(t.orders_log(spark, d), t.probe_keys(spark, d), 0)
+
+
+@query("kv_exists_semi", f"SELECT pos, key FROM ({PROBES}) WHERE key IN (SELECT key FROM {live_sql(ORDERS)})")
+def _(spark, d):
+    return reads.exists(t.orders_log(spark, d), t.probe_keys(spark, d), 0).select("pos", "key")
+
+
+@query("kv_missing_anti", f"SELECT pos, key FROM ({PROBES}) WHERE key NOT IN (SELECT key FROM {live_sql(ORDERS)})")
+def _(spark, d):
+    return reads.missing(t.orders_log(spark, d), t.probe_keys(spark, d), 0).select("pos", "key")
+
+
+@query("kv_list", f"SELECT key FROM {live_sql(TTL)}")
+def _(spark, d):
+    return reads.keys(t.mutations(spark, d, ttl=True), now(spark, d))
+
+
+@query("kv_range", f"SELECT key, value FROM {live_sql(TOMB, "key BETWEEN 'user:00000002' AND 'user:00000009:view'")}")
+def _(spark, d):
+    return reads.span(t.mutations(spark, d), "user:00000002", "user:00000009:view", 0).select("key", "value")
+
+
+@query("kv_range_inverted_empty", f"SELECT key, value FROM {live_sql(TOMB, 'false')}")
+def _(spark, d):
+    return reads.span(t.mutations(spark, d), "z", "a", 0).select("key", "value")
+
+
+@query("kv_live_as_of_seq", f"SELECT key, value FROM {live_sql(TOMB, 'seq <= 500')}")
+def _(spark, d):
+    return fold.live(t.mutations(spark, d), 0, as_of_seq=500).select("key", "value")
+
+
+@query("kv_ttl_visible", f"SELECT key, expiry_ms FROM {live_sql(TTL)} WHERE expiry_ms IS NOT NULL")
+def _(spark, d):
+    return fold.live(t.mutations(spark, d, ttl=True), now(spark, d), values=False).where("expiry_ms IS NOT NULL")
+
+
+@query("kv_expired_keys", f"SELECT key, expiry_ms FROM (SELECT * FROM ({TTL}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE NOT tombstone AND expiry_ms <= (SELECT max({MS}) FROM events)")
+def _(spark, d):
+    return fold.newest(t.mutations(spark, d, ttl=True), "tombstone", "expiry_ms").where(~F.col("tombstone") & (F.col("expiry_ms") <= now(spark, d))).select("key", "expiry_ms")
+
+
+@query("kv_persisted_keys", f"WITH {REPLAY} SELECT seq, key FROM r WHERE op = 'TTL' AND ttl = 0 AND status = 'OK'")
+def _(spark, d):
+    return replay.replay(t.commands(spark, d)).where("op = 'TTL' AND ttl_s = 0 AND status = 'OK'").select("seq", "key")
+
+
+@query("kv_replay_status", f"WITH {REPLAY} SELECT seq, op, key, status FROM r")
+def _(spark, d):
+    return replay.replay(t.commands(spark, d)).select("seq", "op", "key", "status")
+
+
+@query("kv_replay_reads", f"WITH {REPLAY} SELECT seq, key, status, CASE WHEN status = 'OK' THEN head_val END AS payload FROM r WHERE op = 'READ'")
+def _(spark, d):
+    return replay.replay(t.commands(spark, d)).where("op = 'READ'").select("seq", "key", "status", "payload")
+
+
+@query("kv_replay_live", f"""WITH {REPLAY}, m AS (SELECT *, max(CASE WHEN op IN ('WRITE', 'WRITETTL') THEN seq END) OVER (PARTITION BY key ORDER BY seq) AS written FROM r WHERE op IN ('WRITE', 'WRITETTL', 'DELETE') OR (op = 'TTL' AND status = 'OK')),
+    l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)
+    SELECT l.key, v.value, l.new_exp AS expiry_ms FROM l JOIN r v ON v.seq = l.written WHERE l.op <> 'DELETE' AND (l.new_exp IS NULL OR l.new_exp > (SELECT max({MS}) FROM events))""")
+def _(spark, d):
+    return fold.live(replay.applied(t.commands(spark, d)), now(spark, d))
+
+
+@query("kv_op_stats", f"""WITH {REPLAY}, s AS (SELECT count(*) FILTER (op = 'READ') AS reads, count(*) FILTER (op = 'READ' AND status = 'NOT_FOUND') AS read_misses, count(*) FILTER (op IN ('WRITE', 'WRITETTL')) AS writes, count(*) FILTER (op = 'WRITETTL') AS writes_with_ttl,
+    count(*) FILTER (op = 'DELETE') AS deletes, count(*) FILTER (op = 'DELETE' AND status = 'NOT_FOUND') AS delete_misses, count(*) FILTER (op = 'TTL') AS ttls, count(*) FILTER (op = 'TTL' AND status = 'NOT_FOUND') AS ttl_misses, 0::BIGINT AS errors, count(*) AS commands FROM r)
+    UNPIVOT s ON COLUMNS(*) INTO NAME name VALUE value""")
+def _(spark, d):
+    return replay.counters(replay.replay(t.commands(spark, d)))
+
+
+def segments(log: DataFrame, rows: int = 1000) -> DataFrame:
+    return log.withColumn("segment_id", F.expr(f"seq div {rows}"))
+
+
+SIZE = "21 + strlen(key) + CASE WHEN value IS NULL THEN 0 ELSE 8 END + CASE WHEN expiry_ms IS NULL THEN 0 ELSE 8 END"
+ZONES = f"SELECT seq // 1000 AS segment_id, min(key) AS min_key, max(key) AS max_key, count(*) AS n_records, count(*) FILTER (tombstone) AS n_tombstones, sum({SIZE})::BIGINT AS bytes FROM ({TTL}) GROUP BY 1"
+SMALL = f"SELECT seq // 10 AS segment_id, min(key) AS min_key, max(key) AS max_key FROM ({TTL}) GROUP BY 1"
+
+
+@query("kv_dead_bytes_ratio", f"SELECT total AS total_bytes, dead AS dead_bytes, round(dead / total, 6) AS ratio FROM (SELECT sum(n)::BIGINT AS total, sum(CASE WHEN tombstone OR seq < last THEN n ELSE 0 END)::BIGINT AS dead FROM (SELECT *, {SIZE} AS n, max(seq) OVER (PARTITION BY key) AS last FROM ({TTL})))")
+def _(spark, d):
+    return compaction.dead_ratio(fold.with_dead(t.mutations(spark, d, ttl=True)))
+
+
+@query("kv_auto_compact", f"SELECT dead * 1.0 / total > 0.5 OR n > 10 AS due FROM (SELECT sum(n)::BIGINT AS total, sum(CASE WHEN tombstone OR seq < last THEN n ELSE 0 END)::BIGINT AS dead, count(DISTINCT seq // 1000) AS n FROM (SELECT *, {SIZE} AS n, max(seq) OVER (PARTITION BY key) AS last FROM ({TTL})))")
+def _(spark, d):
+    log, s = segments(t.mutations(spark, d, ttl=True)), Settings()
+    n = log.agg(F.countDistinct("segment_id").alias("n"))
+    return compaction.dead_ratio(fold.with_dead(log)).crossJoin(n).select(((F.col("dead_bytes") / F.col("total_bytes") > s.dead_ratio) | (F.col("n") > s.max_segments)).alias("due"))
+
+
+@query("kv_segment_zone_map", ZONES)
+def _(spark, d):
+    return compaction.zone_map(segments(t.mutations(spark, d, ttl=True)))
+
+
+@query("kv_range_file_prune", f"SELECT segment_id FROM ({SMALL}) WHERE min_key <= 'user:00000001:zz' AND max_key >= 'user:00000001'")
+def _(spark, d):
+    return compaction.meeting(compaction.zone_map(segments(t.mutations(spark, d, ttl=True), 10)), "user:00000001", "user:00000001:zz").select("segment_id")
+
+
+@query("kv_level_overlap_join", f"WITH z AS ({SMALL}) SELECT a.segment_id AS source_id, b.segment_id AS target_id FROM z a JOIN z b ON a.min_key <= b.max_key AND a.max_key >= b.min_key WHERE a.segment_id % 3 = 0 AND b.segment_id % 3 = 1")
+def _(spark, d):
+    z = compaction.zone_map(segments(t.mutations(spark, d, ttl=True), 10))
+    return compaction.overlaps(z.where("segment_id % 3 = 0"), z.where("segment_id % 3 = 1"))
+
+
+@query("kv_level_trigger", f"SELECT (segment_id % 3)::BIGINT AS level, count(*) AS n, sum(bytes)::BIGINT AS bytes, CASE WHEN segment_id % 3 = 0 THEN count(*) >= 4 ELSE sum(bytes) >= 100000 * pow(10, segment_id % 3 - 1) END AS due FROM ({ZONES}) GROUP BY segment_id % 3")
+def _(spark, d):
+    z = compaction.zone_map(segments(t.mutations(spark, d, ttl=True))).withColumn("level", F.col("segment_id") % 3)
+    return compaction.level_triggers(z, Settings(level1_bytes=100_000))
+
+
+@query("kv_compact_full", f"SELECT seq, key, value, expiry_ms FROM (SELECT * FROM ({TTL}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE NOT tombstone AND (expiry_ms IS NULL OR expiry_ms > (SELECT max({MS}) FROM events))")
+def _(spark, d):
+    return compaction.merge(t.mutations(spark, d, ttl=True), now(spark, d), True).select("seq", "key", "value", "expiry_ms")
+
+
+@query("kv_compact_partial_tombstones", f"""SELECT seq, key, CASE WHEN NOT gone THEN value END AS value, gone AS tombstone, CASE WHEN NOT gone THEN expiry_ms END AS expiry_ms
+    FROM (SELECT *, tombstone OR coalesce(expiry_ms <= (SELECT max({MS}) FROM events), false) AS gone FROM (SELECT * FROM ({TTL}) WHERE (seq // 100) % 4 = 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1))""")
+def _(spark, d):
+    part = segments(t.mutations(spark, d, ttl=True), 100).where("segment_id % 4 = 1")
+    return compaction.merge(part, now(spark, d), False).select("seq", "key", "value", "tombstone", "expiry_ms")
+
+
+@query("kv_tombstone_gc", f"WITH l AS (SELECT *, seq // 100 AS segment_id FROM ({TOMB})) SELECT key FROM (SELECT * FROM l WHERE segment_id IN (0, 1) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE tombstone AND key NOT IN (SELECT key FROM l WHERE segment_id NOT IN (0, 1))")
+def _(spark, d):
+    return compaction.collectable(segments(t.mutations(spark, d), 100), [0, 1])
+
+
+@query("kv_latency_summary", "SELECT event_type, count(*) AS n, min(value) AS low, round(avg(value), 6) AS mean, max(value) AS high, round(count(*) / (sum(value) / 1e6), 3) AS ops_per_s FROM events GROUP BY 1")
+def _(spark, d):
+    return measures.latency(t.table(spark, d, "events"), "value", "event_type")
+
+
+@query("kv_p99_nearest_rank", "SELECT event_type, max(n)::BIGINT AS n, max(value) FILTER (r = least(n * 99 // 100, n - 1) + 1) AS p99 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY 1")
+def _(spark, d):
+    return measures.nearest_rank(t.table(spark, d, "events"), "value", 99, "event_type")
+
+
+@query("kv_miss_ratio", f"WITH {REPLAY} SELECT op, count(*) AS n, count(*) FILTER (status = 'NOT_FOUND') AS misses, round(count(*) FILTER (status = 'NOT_FOUND') / count(*), 6) AS ratio FROM r GROUP BY 1")
+def _(spark, d):
+    return measures.misses(replay.replay(t.commands(spark, d)), "op")
+
+
+@query("kv_key_windows", f"SELECT block, min(key) AS first_key, max(key) AS last_key FROM (SELECT key, (row_number() OVER (ORDER BY key) - 1) // 10 AS block FROM {live_sql(TOMB)}) GROUP BY 1 HAVING count(*) = 10")
+def _(spark, d):
+    return measures.key_windows(reads.keys(t.mutations(spark, d), 0), 10)
+
+
+@query("kv_spread_misses", "SELECT i, m AS miss, CASE WHEN m THEN 'bench:missing:' ELSE 'bench:key:' END || lpad(i::VARCHAR, 8, '0') AS key FROM (SELECT i, (i + 1) * 3000 // 10000 > i * 3000 // 10000 AS m FROM range(10000) t(i))")
+def _(spark, d):
+    return measures.bench_keys(spark, 10000, 3000)
+
+
+@query("kv_zipf_reads", "SELECT rank, count(*) AS n FROM (SELECT least(floor(exp(((i * 2654435761) % 4294967296 + 0.5) / 4294967296.0 * ln(1000.0::DOUBLE)))::BIGINT - 1, 999) AS rank FROM range(20000) t(i)) GROUP BY 1")
+def _(spark, d):
+    return measures.zipf(spark, 20000, 1000).groupBy("rank").agg(F.count("*").alias("n"))
+
+
+@query("kv_surviving_keys", "SELECT i, 'bench:key:' || lpad(i::VARCHAR, 8, '0') AS key FROM range(5000) t(i) WHERE i % 7 <> 0")
+def _(spark, d):
+    return measures.survivors(spark, 5000, 7)
+
+
+@query("kv_prefix", f"SELECT key, value FROM {live_sql(ORDERS, "starts_with(key, 'cust:000000')")}")
+def _(spark, d):
+    return reads.prefix(t.orders_log(spark, d), "cust:000000", 0).select("key", "value")
+
+
+@query("kv_count_range", f"SELECT count(*) AS n FROM {live_sql(ORDERS, "key BETWEEN 'cust:00000010' AND 'cust:00000090'")}")
+def _(spark, d):
+    return reads.span(t.orders_log(spark, d), "cust:00000010", "cust:00000090", 0).agg(F.count("*").alias("n"))
+
+
+@query("kv_first_last", f"SELECT min(key) AS first_key, arg_min(value, key) AS first_value, max(key) AS last_key, arg_max(value, key) AS last_value FROM {live_sql(ORDERS)}")
+def _(spark, d):
+    return reads.first_last(t.orders_log(spark, d), 0)
+
+
+@query("kv_scan_page", f"SELECT key, value FROM {live_sql(ORDERS, "key > 'cust:00000020'")} ORDER BY key LIMIT 25")
+def _(spark, d):
+    return reads.page(t.orders_log(spark, d), "cust:00000020", 25, 0).select("key", "value")
+
+
+@query("kv_range_agg", f"SELECT count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, min(value) AS low, max(value) AS high FROM (SELECT key, value FROM ({TELEMETRY}) WHERE key BETWEEN 'click:00000005:' AND 'click:00000010:~' QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)")
+def _(spark, d):
+    return reads.totals(reads.span(t.telemetry(spark, d), "click:00000005:", "click:00000010:~", 0))
+
+
+@query("kv_incr", "SELECT event_id AS seq, user_id AS key, sum(CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 10 END) OVER (PARTITION BY user_id, epoch ORDER BY event_id)::BIGINT AS counter FROM (SELECT *, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS epoch FROM events)")
+def _(spark, d):
+    e = t.table(spark, d, "events")
+    reset = F.col("event_type") == "error"
+    return replay.running(e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"), F.when(reset, "RESET").otherwise("INCR").alias("op"), F.when(reset, 0).otherwise(F.col("event_id") % 10).alias("by")))
+
+
+@query("kv_pttl", f"SELECT key, coalesce(expiry_ms - (SELECT max({MS}) FROM events), -1) AS pttl_ms FROM {live_sql(TTL)}")
+def _(spark, d):
+    return reads.remaining(t.mutations(spark, d, ttl=True), now(spark, d))
+
+
+LINES = """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'write k' || user_id || ' a  b ' || event_type WHEN 1 THEN 'READ k' || user_id WHEN 2 THEN 'Ttl k' || user_id || ' ' || (event_id % 5 * 10) WHEN 3 THEN 'WRITETTL k ' || (event_id % 3) || ' x y'
+    WHEN 4 THEN 'MSET a 1 b' || CASE WHEN event_id % 3 = 0 THEN ' 2' ELSE '' END WHEN 5 THEN 'RANGE a z' WHEN 6 THEN 'MGET a b a' ELSE 'NOPE' END AS line FROM events"""
+
+
+@query("kv_cli_parse", f"""WITH l AS ({LINES}), p AS (SELECT *, event_id % 8 AS c, string_split(line, ' ') AS w FROM l), e AS (SELECT *, CASE WHEN c = 3 AND w[3] = '0' THEN 'bad seconds' WHEN c = 4 AND len(w) % 2 = 0 THEN 'odd number of operands' WHEN c = 7 THEN 'unknown command' END AS error FROM p)
+    SELECT event_id, CASE WHEN error IS NULL THEN upper(w[1]) END AS op, CASE WHEN error IS NULL AND c IN (0, 1, 2, 3) THEN w[2] END AS key,
+    CASE WHEN c = 0 THEN substr(line, strlen(w[2]) + 8) WHEN c = 3 AND error IS NULL THEN 'x y' END AS value, CASE WHEN error IS NULL AND c IN (2, 3) THEN w[3]::BIGINT END AS ttl_s,
+    CASE WHEN c = 5 THEN 'a' END AS start, CASE WHEN c = 5 THEN 'z' END AS "end", CASE WHEN c = 6 THEN 'a,b,a' WHEN c = 4 AND error IS NULL THEN 'a=1,b=2' END AS items, error FROM e""")
+def _(spark, d):
+    t.table(spark, d, "events").createOrReplaceTempView("tidelog_events")
+    lines = spark.sql(LINES.replace("FROM events", "FROM tidelog_events"))
+    return language.parse(lines).drop("line")
+
+
+@query("kv_conversation_last", "SELECT 'conv:' || lpad(conv_id::VARCHAR, 8, '0') AS key, arg_max(text, turn) AS value FROM conversations GROUP BY 1")
+def _(spark, d):
+    return fold.live(t.turns(spark, d), 0).select("key", "value")
+
+
+@query("kv_codec_sizes")
+def _(spark, d):
+    """I-50: bytes of the log under each Parquet codec, written to the shared folder."""
+    from .plans.codecs import sizes
+
+    return sizes(t.turns(spark, d))
+
+
+@query("kv_crc")
+def _(spark, d):
+    return t.mutations(spark, d).select("seq", "key", checksum(F.col("key"), F.col("value").cast("string")).alias("crc"))
+
+
+@query("kv_ping", "SELECT 'OK' AS status, 'PONG' AS payload")
+def _(spark, d):
+    return spark.range(1).select(F.lit("OK").alias("status"), F.lit("PONG").alias("payload"))
+
+
+@query("kv_invalid_op", "SELECT event_id AS seq, CASE WHEN event_id % 20 BETWEEN 1 AND 12 THEN 'OK' ELSE 'ERROR' END AS status FROM events")
+def _(spark, d):
+    code = F.col("event_id") % 20
+    return t.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.when(code.between(1, 12), "OK").otherwise("ERROR").alias("status"))
+
+
+@query("kv_collections_default_ttl", f"SELECT event_type AS collection, count(*) AS n FROM (SELECT event_type, user_id, {MS} + coalesce(CASE WHEN event_id % 3 = 0 THEN (1 + event_id % 72) * 3600000 END, 86400000) AS x FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) = 1) WHERE x > (SELECT max({MS}) FROM events) GROUP BY 1")
+def _(spark, d):
+    log = t.mutations(spark, d, ttl=True).withColumns({"tombstone": F.lit(False), "expiry_ms": F.coalesce("expiry_ms", F.col("ts_ms") + 86400000)})
+    return fold.live(log, now(spark, d)).groupBy(F.split_part("key", F.lit(":"), F.lit(3)).alias("collection")).agg(F.count("*").alias("n"))
+
+
+@query("kv_time_windows", f"SELECT ({MS}) // 86400000 AS day, count(*) AS n_records, count(*) FILTER (event_id % 7 = 3) AS n_tombstones FROM events GROUP BY 1")
+def _(spark, d):
+    return t.mutations(spark, d).groupBy(F.expr("ts_ms div 86400000").alias("day")).agg(F.count("*").alias("n_records"), F.count_if("tombstone").alias("n_tombstones"))
+
+
+@query("kv_latency_quantiles", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1")
+def _(spark, d):
+    return t.table(spark, d, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"))

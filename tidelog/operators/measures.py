@@ -33,14 +33,10 @@ def key_windows(keys: DataFrame, width: int, buckets: int = 256) -> DataFrame:
     """First and last key of each full run of width keys in order; the rest is dropped.
 
     A key's rank is its rank in its bucket of neighbours plus the sizes of the buckets before, so no task sorts all keys:
-    buckets are cut at key quantiles, and only their counts (at most buckets rows) go through one task.
+    buckets are cut at keys picked by hash, and only their counts (at most buckets rows) go through one task.
     """
-    cuts = keys.sparkSession.createDataFrame([(0,)], "x int").limit(0)  # placeholder schema holder
-    del cuts
-    edges = sorted({r[0] for r in keys.sample(1.0).select("key").orderBy(F.xxhash64("key")).limit(buckets - 1).collect()})
-    bucket = F.lit(0)
-    if edges:
-        bucket = F.expr(f"size(filter(array({', '.join(repr(e) for e in edges)}), e -> e <= key))")
+    edges = sorted(r[0] for r in keys.select("key").orderBy(F.xxhash64("key"), "key").limit(buckets - 1).collect())
+    bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("key"))) if edges else F.lit(0)
     placed = keys.select("key", bucket.alias("bucket"))
     sizes = placed.groupBy("bucket").count()
     before = sizes.select("bucket", F.coalesce(F.sum("count").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
