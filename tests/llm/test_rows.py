@@ -1,0 +1,133 @@
+"""Operators that work row by row, against plain versions."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tidelog.llm import language, pii, quality_rules, queries, rule_ensemble, textstats
+
+PATH = "/root/testdata/sf0.01"
+ODD = [None, "", " \n\t ", "x" * 30_000, "a\x1cb c\x85d", "one two three four five six seven eight " * 4, "l\n l\nl\n\n\nl", "ÀÉ #*$ 漢字 🙂"]
+
+
+def plain_base(text):
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    windows = {}
+    for i in range(len(w) - 7):
+        windows.setdefault(tuple(w[i : i + 8]), []).append(i)
+    covered = {j for at in windows.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def documents(spark):
+    return {r.doc_id: r for r in spark.read.parquet(f"{PATH}/documents.parquet").collect()}
+
+
+def test_base_counts():
+    rng = random.Random(1)
+    texts = ODD + ["".join(rng.choice("ab \n#") for _ in range(rng.randint(0, 300))) for _ in range(200)]
+    out = textstats.base(texts)
+    assert list(zip(*[out[n].tolist() for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], strict=True)) == [plain_base(t) for t in texts]
+    assert textstats.quality(texts).shape == (len(texts), len(textstats.QUALITY)) and np.isfinite(textstats.quality(texts)).all()
+    assert textstats.quality([]).shape == (0, len(textstats.QUALITY))
+
+
+def test_quality_rules(spark):
+    docs, labels = documents(spark), {r.doc_id: r.quality for r in spark.read.parquet(f"{PATH}/labels.parquet").collect()}
+    rows = queries.QUERIES["op3_quality_rules"](spark, PATH).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_base(docs[r.doc_id].text)
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept)
+    judged = [(r.kept, labels[r.doc_id]) for r in rows if r.doc_id in labels and not r.base_failed]
+    assert np.mean([k for k, q in judged if q == 1]) > 0.98
+
+
+def test_quality_rules_without_labels(spark):
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ODD)], "doc_id long, text string, kept int")
+    model = quality_rules.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality_rules.apply(docs, model).where("kept").count() == len([t for t in ODD if plain_base(t)[0] >= 20 and 100 * plain_base(t)[4] <= 30 * plain_base(t)[0]])
+
+
+def test_rule_ensemble(spark):
+    rows = {r.doc_id: r for r in queries.QUERIES["op10_quality_classifier"](spark, PATH).collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{PATH}/labels.parquet").collect()}
+    assert len(rows) == len(documents(spark))
+    for i, r in rows.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
+    held = [(rows[i].predicted, q) for i, q in labels.items() if rows[i].held_out]
+    assert np.mean([p == q for p, q in held]) > 0.9
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    model = rule_ensemble.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r.score for r in rule_ensemble.apply(docs, model).collect()} == {0.5}
+
+
+def test_compiled_rules_equal_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.random((300, len(textstats.QUALITY)))
+    model = rule_ensemble.fit_arrays(x, (x[:, 3] + x[:, 5] * x[:, 7] > 0.7).astype(float))
+    df = spark.createDataFrame(x.tolist(), [f"stat_{n}" for n in textstats.QUALITY]).select(rule_ensemble.compiled(model).alias("s"))
+    z = model.bias + sum(w * rule_ensemble.holds(x, r) for r, w in zip(model.rules, model.weights, strict=True))
+    assert np.allclose([r.s for r in df.collect()], 1 / (1 + np.exp(-z)))
+
+
+def luhn(s):
+    d = [int(c) for c in s][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def plain_spans(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 12 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    ]
+    return sorted((m.start(), n, k, m.end()) for n, (k, p, ok) in enumerate(rules) for m in re.finditer(p, t or "") if ok(m.group()))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_base_spans(seed):
+    rng = random.Random(seed)
+    parts = ["a.b@c.de", "x@y.z@w.v", "@", "a@b", "_%@q.r-s.t..", "1.2.3.4", "1.2.3.4.5.6.7.8", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111 12", "+1 (017) 555-7713", "+12", "+", "0000", "é", " ", ".", "-", "🙂"]
+    for _ in range(1500):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 8)))
+        got = [(x["start"], pii.BASE.index(x["kind"]), x["kind"], x["end"]) for x in pii.spans(t) if x["base"]]
+        assert got == plain_spans(t), t
+
+
+def test_added_spans_and_redaction():
+    kinds = lambda t: [x["kind"] for x in pii.spans(t) if not x["base"]]
+    assert kinds("pay to GB82 WEST 1234 5698 7654 32 now") == ["iban"] and kinds("GB83 WEST 1234 5698 7654 32") == []
+    assert kinds('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"') == ["secret"] and kinds("the token economy") == []
+    assert kinds("4111111111111111 4111111111111111") == ["card", "card"]
+    assert pii.redacted("to a@b.cd or 10.0.0.1!", pii.spans("to a@b.cd or 10.0.0.1!")) == "to <EMAIL> or <IP>!"
+    assert pii.spans("9" * 200_000) == [] and pii.spans(None) == [] and pii.redacted(None, []) is None
+
+
+def test_pii_query(spark):
+    docs = documents(spark)
+    for r in queries.QUERIES["op8_pii"](spark, PATH).collect():
+        want = plain_spans(docs[r.doc_id].text)
+        line = ",".join(f"{k}:{s}:{e}" for s, _, k, e in want)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w[2] == k for w in want) for k in pii.BASE]
+        assert set(line.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_language(spark):
+    docs = documents(spark)
+    rows = queries.QUERIES["op7_language_id"](spark, PATH).collect()
+    assert len(rows) == len(docs) and np.mean([r.language == docs[r.doc_id].lang for r in rows]) > 0.97 and np.mean([r.kept for r in rows]) > 0.99
+    odd = spark.createDataFrame([(1, None, None, None), (2, "12 34 !!", "en", "http://a.example.de/x"), (3, docs[0].text, None, ""), (3, docs[0].text, "xx", "h")], "doc_id long, text string, lang string, source string")
+    model = language.learn(spark.read.parquet(f"{PATH}/documents.parquet"))
+    got = sorted((r.doc_id, r.language, r.kept) for r in language.identify(odd, model).collect())
+    assert got == [(1, "und", False), (2, "und", False), (3, docs[0].lang, True), (3, docs[0].lang, True)]
+    assert language.identify(odd.limit(0), language.learn(odd.limit(0))).count() == 0
