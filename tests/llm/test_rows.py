@@ -55,6 +55,13 @@ def test_quality_rules_without_labels(spark):
     assert quality_rules.apply(docs, model).where("kept").count() == len([t for t in ODD if plain_base(t)[0] >= 20 and 100 * plain_base(t)[4] <= 30 * plain_base(t)[0]])
 
 
+def test_repeated_documents_do_not_widen_the_sample(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None), (None, "c"), (3, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (4, 0)], "doc_id long, quality int")
+    rows = quality_rules.labelled(docs, labels, 10).collect()
+    assert sorted((r.doc_id, r.text or "", r.label) for r in rows) == [(1, "a", 1), (1, "a", 1), (2, "", 0)]
+
+
 def test_rule_ensemble(spark):
     rows = {r.doc_id: r for r in queries.QUERIES["op10_quality_classifier"](spark, PATH).collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{PATH}/labels.parquet").collect()}

@@ -91,9 +91,14 @@ def features(text: str | None, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, sample: int, label: str = "quality") -> DataFrame:
-    """(doc_id, text, label) of at most sample rows; which, a hash of doc_id says."""
+    """(doc_id, text, label) of at most sample rows; which, a hash of doc_id says.
+
+    Of documents with one doc_id the smallest text counts, so that repeated rows cannot widen the sample.
+    """
     few = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    return documents.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    named = F.broadcast(few.select("doc_id").distinct())
+    texts = documents.select("doc_id", "text").join(named, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return texts.join(F.broadcast(few), "doc_id")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, steps: int = 300, rate: float = 0.5) -> tuple[np.ndarray, float]:
