@@ -68,7 +68,7 @@ def learn(df: DataFrame, column: str = "text", declared: str = "lang", key: str
         yield pa.RecordBatch.from_arrays([pa.array([out.astype("<f8").tobytes()])], names=["counts"])
 
     total = np.zeros((len(LANGUAGES), BUCKETS))
-    for r in rows.coalesce(8).mapInArrow(tally, "counts binary").collect():
+    for r in rows.repartition(8).mapInArrow(tally, "counts binary").collect():
         total += np.frombuffer(r["counts"], "<f8").reshape(total.shape)
     share = (total / np.maximum(total.sum(axis=1, keepdims=True), 1e-9) + 0.05 / BUCKETS) / 1.05
     return np.vstack([np.log(share), np.full((1, BUCKETS), -np.log(BUCKETS))])
