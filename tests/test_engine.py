@@ -110,3 +110,25 @@ def test_stream(spark, tmp_path):
     q = ingest.live_stream(source, 0).writeStream.outputMode("complete").format("memory").queryName("tidelog_live").trigger(availableNow=True).start()
     q.awaitTermination()
     assert view(spark.table("tidelog_live")) == view(store.live(0))
+
+
+def test_kept_expiry_against_a_sequential_fold(spark):
+    rng, rows, state = random.Random(5), [], {}
+    for seq in range(400):
+        key, ttl, dead = f"k{rng.randint(0, 9)}", rng.choice([None, None, 3, 40]), rng.random() < 0.15
+        ts = seq * 2
+        rows.append((seq, ts, key, str(seq), dead, None if ttl is None else ts + ttl))
+        old = state.get(key)
+        if old and old[1] is not None and old[1] <= ts:
+            old = None
+        state[key] = None if dead else (str(seq), ts + ttl if ttl else (old[1] if old else None))
+    log = spark.createDataFrame(rows, "seq long, ts_ms long, key string, value string, tombstone boolean, expiry_ms long")
+    got = {r.key: (r.value, r.expiry_ms) for r in fold.kept_expiry(log).where("NOT tombstone").collect()}
+    assert got == {k: v for k, v in state.items() if v}
+
+
+def test_tiers_against_a_plain_fold(spark):
+    sizes = [(i, s) for i, s in enumerate([100, 110, 1000, 90, 950, 40, 105, 5000])]
+    table = compaction.tier_table(spark.createDataFrame(sizes, "segment_id long, bytes long"), Settings())
+    got = {r.segment_id: (r.bucket, r.due) for r in table.collect()}
+    assert got == {0: (0, True), 1: (0, True), 2: (1, False), 3: (0, True), 4: (1, False), 5: (2, False), 6: (0, True), 7: (3, False)}

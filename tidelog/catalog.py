@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.records import checksum
+from .functions.records import checksum, memory_size, record_size, unexpired
 from .model import Settings
 from .operators import commands as language
 from .operators import fold, measures, reads, replay
@@ -327,3 +327,62 @@ def _(spark, d):
 @query("kv_latency_quantiles", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1")
 def _(spark, d):
     return t.table(spark, d, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"))
+
+
+@query("kv_keep_ttl", f"""WITH l AS ({TTL}), n AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1), d AS (SELECT key, max(seq) FILTER (tombstone) AS cut FROM l GROUP BY 1),
+    k AS (SELECT key, arg_max(expiry_ms, seq) AS e FROM l JOIN d USING (key) WHERE NOT tombstone AND expiry_ms IS NOT NULL AND (cut IS NULL OR seq > cut) GROUP BY 1),
+    r AS (SELECT key, value, CASE WHEN e > ts_ms THEN e END AS expiry_ms FROM n LEFT JOIN k USING (key) WHERE NOT tombstone)
+    SELECT * FROM r WHERE expiry_ms IS NULL OR expiry_ms > (SELECT max({MS}) FROM events)""")
+def _(spark, d):
+    return fold.kept_expiry(t.mutations(spark, d, ttl=True)).where(~F.col("tombstone") & unexpired(F.col("expiry_ms"), now(spark, d))).select("key", "value", "expiry_ms")
+
+
+@query("kv_mset_items", f"""SELECT event_id AS seq, pos, 'user:' || lpad(user_id::VARCHAR, 8, '0') || CASE pos WHEN 0 THEN '' ELSE ':copy' END AS key, value,
+    CASE WHEN pos = 1 AND event_id % 2 = 0 THEN 'WRITETTL' ELSE 'WRITE' END AS op, CASE WHEN pos = 1 THEN (event_id + 1) % 2 * 60 END AS ttl_s FROM events, (VALUES (0), (1)) v(pos)""")
+def _(spark, d):
+    key, seq = t.user_key("user_id"), F.col("event_id")
+    items = F.array(F.struct(key.alias("key"), F.col("value"), F.lit(None).cast("long").alias("ttl_s")), F.struct(F.concat(key, F.lit(":copy")).alias("key"), F.col("value"), ((seq + 1) % 2 * 60).alias("ttl_s")))
+    sets = t.table(spark, d, "events").select(seq.alias("seq"), F.lit(0).cast("long").alias("ts_ms"), F.lit("MSET").alias("op"), items.alias("items"))
+    return replay.exploded(sets).drop("ts_ms")
+
+
+@query("kv_range_modes", "SELECT mode, op, CASE WHEN op = 'NOPE' OR (op = 'RANGE' AND mode = 'hash') THEN 'ERROR' ELSE 'OK' END AS status FROM (VALUES ('sorted'), ('hash')) m(mode), (VALUES ('READ'), ('RANGE'), ('LIST'), ('NOPE')) o(op)")
+def _(spark, d):
+    ops = spark.createDataFrame([("READ",), ("RANGE",), ("LIST",), ("NOPE",)], "op string")
+    sorted_mode, hash_mode = (ops.select(F.lit(m).alias("mode"), "op", replay.answerable(F.col("op"), m).alias("status")) for m in ("sorted", "hash"))
+    return sorted_mode.unionByName(hash_mode)
+
+
+@query("kv_record_bytes", "SELECT sum(21 + 13 + coalesce(strlen(text), 0))::BIGINT AS record_bytes, sum(13 + coalesce(strlen(text), 0))::BIGINT AS memory_bytes FROM conversations")
+def _(spark, d):
+    at = F.col("key"), F.col("value"), F.col("expiry_ms")
+    return t.turns(spark, d).agg(F.sum(record_size(*at)).alias("record_bytes"), F.sum(memory_size(*at)).alias("memory_bytes"))
+
+
+@query("kv_store_info", f"SELECT count(*) AS segments, sum(n_records)::BIGINT AS n_records, sum(n_tombstones)::BIGINT AS n_tombstones, sum(bytes)::BIGINT AS bytes, min(min_key) AS min_key, max(max_key) AS max_key FROM ({ZONES})")
+def _(spark, d):
+    return compaction.summary(compaction.zone_map(segments(t.mutations(spark, d, ttl=True))))
+
+
+@query("kv_size_tiers")
+def _(spark, d):
+    """I-12, I-13: segments that double in size, dealt into tiers. The fold depends on order, so tests hold it against a plain one."""
+    log = t.mutations(spark, d, ttl=True).withColumn("segment_id", F.floor(F.log2(F.greatest("seq", F.lit(1)) / 3 + 1)))
+    return compaction.tier_table(compaction.zone_map(log), Settings())
+
+
+@query("kv_overwrite_rounds", "SELECT 'bench:key:' || lpad(i::VARCHAR, 8, '0') AS key, 2::BIGINT AS value FROM range(5000) t(i)")
+def _(spark, d):
+    return fold.live(measures.rounds(spark, 5000, 3), 0).select("key", "value")
+
+
+@query("kv_compare_systems", """SELECT metric, round(a, 4) AS base_rate, round(b, 4) AS other_rate, round(100 * (b - a) / nullif(a, 0), 4) AS percent FROM
+    (SELECT 'user ' || user_id AS metric, avg(event_id) FILTER (event_type = 'view') AS a, avg(event_id) FILTER (event_type = 'click') AS b FROM events WHERE event_type IN ('view', 'click') GROUP BY 1)""")
+def _(spark, d):
+    lines = t.table(spark, d, "events").where(F.col("event_type").isin("view", "click")).select(F.col("event_type").alias("system"), F.concat(F.lit("user "), F.col("user_id"), F.lit(": "), F.col("event_id"), F.lit(" ops/s")).alias("line"))
+    return measures.compared(lines, "view", "click")
+
+
+@query("kv_latency_histogram", "SELECT event_type, floor(value / 25) * 25.0::DOUBLE AS low, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return measures.histogram(t.table(spark, d, "events"), "value", 25.0, "event_type")

@@ -35,3 +35,19 @@ def with_dead(log: DataFrame) -> DataFrame:
     """log with dead: a newer mutation of the key exists, or it is a tombstone. Joined by the newest seq, so no window sorts a hot key."""
     last = log.groupBy("key").agg(F.max("seq").alias("newest_seq"))
     return log.join(last, "key").withColumn("dead", (F.col("seq") < F.col("newest_seq")) | F.col("tombstone")).drop("newest_seq")
+
+
+def kept_expiry(log: DataFrame) -> DataFrame:
+    """newest(), but a write without an expiry keeps the one that its key had (KEEPTTL), if the key still lived.
+
+    ts_ms must not fall as seq rises: then the last expiry that was set after the last delete holds if it outlasts the
+    newest write. One aggregation, combined on the map side.
+    """
+    sets = ~F.col("tombstone") & F.col("expiry_ms").isNotNull()
+    folded = log.groupBy("key").agg(
+        F.max_by(F.struct("seq", "ts_ms", "value", "tombstone"), "seq").alias("last"),
+        F.max(F.when(F.col("tombstone"), F.col("seq"))).alias("cut"),
+        F.max_by(F.struct("seq", "expiry_ms"), F.when(sets, F.col("seq"))).alias("kept"),
+    )
+    holds = (F.coalesce(F.col("kept.seq") > F.col("cut"), F.lit(True))) & (F.col("kept.expiry_ms") > F.col("last.ts_ms"))
+    return folded.select("key", "last.*", F.when(holds, F.col("kept.expiry_ms")).alias("expiry_ms"))

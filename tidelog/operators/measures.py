@@ -64,3 +64,23 @@ def survivors(spark: SparkSession, n: int, stride: int) -> DataFrame:
     """Keys left after every stride-th of n is deleted."""
     every = bench_keys(spark, n).select("i", "key")
     return every.join(every.where(F.col("i") % stride == 0).select("key"), "key", "left_anti")
+
+
+def rounds(spark: SparkSession, n: int, times: int) -> DataFrame:
+    """A log that writes n keys `times` times over; the value is the round."""
+    i = F.col("id")
+    key = F.concat(F.lit("bench:key:"), F.lpad((i % n).cast("string"), 8, "0"))
+    return spark.range(n * times).select(i.alias("seq"), F.lit(0).cast("long").alias("ts_ms"), key.alias("key"), F.expr(f"id div {n}").alias("value"), F.lit(False).alias("tombstone"), F.lit(None).cast("long").alias("expiry_ms"))
+
+
+def compared(lines: DataFrame, base: str, other: str) -> DataFrame:
+    """Mean rates of two systems and other's difference to base in percent, from report lines `<metric>: <rate> ops/s` (columns system, line)."""
+    parts = lines.select("system", F.regexp_extract("line", r"^([^:]+): ", 1).alias("metric"), F.regexp_extract("line", r": ([0-9.]+) ops/s$", 1).try_cast("double").alias("rate")).where(F.col("rate").isNotNull())
+    wide = parts.groupBy("metric").pivot("system", [base, other]).agg(F.avg("rate"))
+    a, b = F.col(f"`{base}`"), F.col(f"`{other}`")
+    return wide.select("metric", F.round(a, 4).alias("base_rate"), F.round(b, 4).alias("other_rate"), F.round(100 * (b - a) / F.nullif(a, F.lit(0.0)), 4).alias("percent"))
+
+
+def histogram(samples: DataFrame, value: str, width: float, *by: str) -> DataFrame:
+    """Counts in bins of equal width; low is a bin's lower edge."""
+    return samples.where(F.col(value).isNotNull()).groupBy(*by, (F.floor(F.col(value) / width) * width).alias("low")).agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ ts_ms must not fall as seq rises. An epoch of a key begins with a write; a delet
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import expiry_of
@@ -65,3 +65,9 @@ def running(increments: DataFrame) -> DataFrame:
     w = Window.partitionBy("key").orderBy("seq")
     epoch = increments.withColumn("epoch", F.sum((F.col("op") == "RESET").cast("int")).over(w))
     return epoch.select("seq", "key", F.sum("by").over(Window.partitionBy("key", "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)).alias("counter"))
+
+
+def answerable(op: Column, mode: str) -> Column:
+    """OK, or ERROR for what a mode cannot answer: RANGE in hash mode, and unknown commands."""
+    known = F.coalesce(op.isin(*OPS), F.lit(False))
+    return F.when(~known | (op.eqNullSafe("RANGE") & F.lit(mode == "hash")), "ERROR").otherwise("OK")

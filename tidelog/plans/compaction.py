@@ -68,6 +68,19 @@ def tiers(sizes: Sequence[tuple[int, int]], settings: Settings) -> list[list[int
     return [[s for s, _ in b] for b in buckets]
 
 
+def tier_table(segments: DataFrame, settings: Settings) -> DataFrame:
+    """segment_id, bytes, bucket, and whether the bucket is due. The order matters, so the driver deals out the manifest, a row per segment."""
+    sizes = [(r["segment_id"], r["bytes"]) for r in segments.select("segment_id", "bytes").orderBy("segment_id").collect()]
+    known = dict(sizes)
+    rows = [(s, known[s], i, len(b) >= settings.tier_files) for i, b in enumerate(tiers(sizes, settings)) for s in b]
+    return segments.sparkSession.createDataFrame(rows, "segment_id long, bytes long, bucket int, due boolean")
+
+
+def summary(segments: DataFrame) -> DataFrame:
+    """One row on a whole store from its manifest: segments, records, tombstones, bytes and key range."""
+    return segments.agg(F.count("*").alias("segments"), F.sum("n_records").alias("n_records"), F.sum("n_tombstones").alias("n_tombstones"), F.sum("bytes").alias("bytes"), F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"))
+
+
 def dead_ratio(log_with_dead: DataFrame) -> DataFrame:
     size = record_size(F.col("key"), F.when(F.col("value").isNotNull(), F.lit("12345678")), F.col("expiry_ms")) if dict(log_with_dead.dtypes)["value"] == "double" else record_size(F.col("key"), F.col("value"), F.col("expiry_ms"))
     return log_with_dead.agg(F.sum(size).alias("total_bytes"), F.sum(F.when(F.col("dead"), size).otherwise(0)).alias("dead_bytes")).withColumn("ratio", F.round(F.col("dead_bytes") / F.col("total_bytes"), 6))
