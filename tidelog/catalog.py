@@ -198,6 +198,16 @@ def _(spark, d):
     return compaction.collectable(segments(t.mutations(spark, d), 100), [0, 1])
 
 
+def levels_sql(log: str, rows: int) -> str:
+    """A log with segment_id and level, as compaction.leveled gives it with factor 10."""
+    return f"(SELECT *, CASE WHEN (last - segment_id) * 10 > last THEN 2 WHEN (last - segment_id) * 100 > last THEN 1 ELSE 0 END AS level FROM (SELECT *, seq // {rows} AS segment_id, max(seq // {rows}) OVER () AS last FROM ({log})))"
+
+
+@query("kv_tombstone_gc_levels", f"WITH l AS {levels_sql(TOMB, 100)} SELECT level, key FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY level, key ORDER BY seq DESC) = 1) a WHERE tombstone AND NOT EXISTS (SELECT 1 FROM l b WHERE b.key = a.key AND b.level <> a.level)")
+def _(spark, d):
+    return compaction.collectable_by_level(compaction.leveled(segments(t.mutations(spark, d), 100), Settings().level_factor))
+
+
 @query("kv_latency_summary", "SELECT event_type, count(*) AS n, min(value) AS low, round(avg(value), 6) AS mean, max(value) AS high, round(count(*) / (sum(value) / 1e6), 3) AS ops_per_s FROM events GROUP BY 1")
 def _(spark, d):
     return measures.latency(t.table(spark, d, "events"), "value", "event_type")

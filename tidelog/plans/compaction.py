@@ -32,6 +32,19 @@ def collectable(log: DataFrame, chosen: list[int]) -> DataFrame:
     return dead.join(log.where(~inside).select("key").distinct(), "key", "left_anti")
 
 
+def leveled(log: DataFrame, factor: int) -> DataFrame:
+    """log with level, by the age of segment_id: all but the newest 1/factor in level 2, of these all but 1/factor in level 1, the rest in 0."""
+    last = log.agg(F.max("segment_id").alias("last")).first()["last"] or 0
+    age = F.lit(last) - F.col("segment_id")
+    return log.withColumn("level", F.when(age * factor > last, 2).when(age * factor**2 > last, 1).otherwise(0))
+
+
+def collectable_by_level(log: DataFrame) -> DataFrame:
+    """(level, key) of tombstones that may go where each level is merged by itself: collectable() of the segments of every level."""
+    found = log.groupBy("key").agg(F.min("level").alias("level"), F.max("level").alias("top"), F.max_by("tombstone", "seq").alias("tombstone"))
+    return found.where((F.col("level") == F.col("top")) & F.col("tombstone")).select("level", "key")
+
+
 def zone_map(log: DataFrame) -> DataFrame:
     """A row for each segment_id: key range, records, tombstones and bytes."""
     size = record_size(F.col("key"), F.when(F.col("value").isNotNull(), F.lit("12345678")), F.col("expiry_ms")) if dict(log.dtypes)["value"] == "double" else record_size(F.col("key"), F.col("value"), F.col("expiry_ms"))
