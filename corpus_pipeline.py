@@ -6,6 +6,7 @@ docs. All but the last return the columns of documents, over whole texts of all
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,24 +17,37 @@ from tidelog.llm.queries import vocabulary
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not in ids. The stored ids have a known size, so Spark broadcasts them only where they are few."""
-    return docs.join(stored(ids.select("doc_id").distinct()), "doc_id", "left_anti").select(*COLUMNS)
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with row_id, which names each row and is the same in every scan: a Parquet file and the row's place in it."""
+    try:
+        return docs.select("*", F.concat_ws(":", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("row_id"))
+    except AnalysisException:  # not a scan of Parquet
+        return numbered(stored(docs))
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """numbered docs whose row_id is not in rows. The stored ids have a known size, so Spark broadcasts them only where they are few."""
+    return docs.join(stored(rows.select("row_id").distinct()), "row_id", "left_anti").select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts of no known language."""
-    return without(docs, language.identify(docs, language.learn(docs)).where(~F.col("kept")))
+    """Drops rows with a text of no known language."""
+    rows = numbered(docs)
+    return without(rows, language.identify(rows, language.learn(rows), key="row_id").where(~F.col("kept")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; without a doc_id a row stays as it is."""
-    return without(docs, simhash.cluster(docs).where(F.col("doc_id") != F.col("component_id")))
+    """Of each group of linked rows one stays: that of the smallest doc_id, null last, then by a hash of the row."""
+    rows = numbered(docs)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*COLUMNS), "row_id")
+    classes = simhash.cluster(rows.select(order.alias("row"), "text"), key="row")
+    return without(rows, classes.where(F.col("row.row_id") != F.col("component_id.row_id")).select("row.row_id"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a window that nearly equals a benchmark item."""
-    return without(docs, decontaminate.matches(docs, table(spark, sf_dir, "benchmark")))
+    """Drops rows with a window that nearly equals a benchmark item."""
+    rows = numbered(docs)
+    return without(rows, decontaminate.matches(rows, table(spark, sf_dir, "benchmark"), key="row_id"))
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
