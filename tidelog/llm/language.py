@@ -9,7 +9,8 @@ Method. Four kinds of evidence meet in one posterior over the known languages an
             smoothed towards the whole corpus.
 Counts by declaration, suffix and host cover every row. A hot host is counted before the shuffle and joined salted.
 
-Bound. Word and byte-run frequencies are learned on at most `sample` rows that declare a known language.
+Bound. Word and byte-run frequencies are learned on the rows of at most `sample` keys of each declared known language,
+the first by hash, so that a rare language has its rows at every size.
 
 Defined results: without a letter in it a text (so also a null or empty one) is "und" with confidence 1; missing
 declarations, addresses and hosts are no evidence; ties go to the first language by name. Rejected (kept is false) are
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +58,8 @@ def buckets(text: str) -> np.ndarray:
 
 def learn(df: DataFrame, column: str = "text", declared: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> np.ndarray:
     """Log frequencies, a row for each of LANGUAGES and an even one for NONE."""
-    few = df.where(F.col(declared).isin(*LANGUAGES) & F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(sample)
-    rows = df.where(F.col(declared).isin(*LANGUAGES)).select(key, declared, column).join(F.broadcast(few), key).select(declared, column)
+    few = reduce(DataFrame.unionByName, [df.where((F.col(declared) == c) & F.col(key).isNotNull()).select(key, declared).distinct().orderBy(F.xxhash64(key), key).limit(sample) for c in LANGUAGES])
+    rows = df.select(key, declared, column).join(F.broadcast(few), [key, declared]).select(declared, column)
 
     def tally(batches):
         out = np.zeros((len(LANGUAGES), BUCKETS))
