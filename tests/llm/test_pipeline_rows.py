@@ -62,3 +62,9 @@ def test_null_and_repeated_ids(spark):
     assert not {(None, "12 34 !!"), (9001, "56 78 !!")} & set(first[1]) and first[1][9001, lone[0]] == 1
     assert second[0][9002, lone[1]] == 3 and second[1][9002, lone[1]] == 1 and second[1][None, lone[1]] == 0 and second[1][None, lone[2]] == 1
     assert not {(None, item), (9001, item)} & set(third[1]) and third[1][9001, lone[0]] == 1
+
+
+def test_stages_equal_plain_versions(spark):
+    docs = spark.read.parquet(f"{PATH}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    steps = follow(spark, [tuple(r) for r in docs.collect()])
+    assert all(steps[i][1] < steps[i][0] for i in (1, 2)) and steps[2][1]
