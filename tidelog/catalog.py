@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,12 @@ def _(spark, d):
     return fold.live(t.mutations(spark, d), 0, as_of_seq=500).select("key", "value")
 
 
+@query("kv_live_as_of_half", f"SELECT key, value FROM {live_sql(TOMB, 'seq <= (SELECT max(event_id) // 2 FROM events)')}")
+def _(spark, d):
+    log = t.mutations(spark, d)
+    return fold.live(log, 0, as_of_seq=(log.agg(F.max("seq").alias("last")).first()["last"] or 0) // 2).select("key", "value")
+
+
 @query("kv_ttl_visible", f"SELECT key, expiry_ms FROM {live_sql(TTL)} WHERE expiry_ms IS NOT NULL")
 def _(spark, d):
     return fold.live(t.mutations(spark, d, ttl=True), now(spark, d), values=False).where("expiry_ms IS NOT NULL")
@@ -175,6 +182,13 @@ def _(spark, d):
     return compaction.overlaps(z.where("segment_id % 3 = 0"), z.where("segment_id % 3 = 1"))
 
 
+@query("kv_level_overlap_adjacent", f"WITH z AS ({SMALL}) SELECT a.segment_id AS source_id, b.segment_id AS target_id FROM z a JOIN z b ON a.min_key <= b.max_key AND a.max_key >= b.min_key WHERE b.segment_id % 3 = a.segment_id % 3 + 1")
+def _(spark, d):
+    z = compaction.zone_map(segments(t.mutations(spark, d, ttl=True), 10))
+    level = [z.where(F.col("segment_id") % 3 == i) for i in range(3)]
+    return compaction.overlaps(level[0], level[1]).unionByName(compaction.overlaps(level[1], level[2]))
+
+
 @query("kv_level_trigger", f"SELECT (segment_id % 3)::BIGINT AS level, count(*) AS n, sum(bytes)::BIGINT AS bytes, CASE WHEN segment_id % 3 = 0 THEN count(*) >= 4 ELSE sum(bytes) >= 100000 * pow(10, segment_id % 3 - 1) END AS due FROM ({ZONES}) GROUP BY segment_id % 3")
 def _(spark, d):
     z = compaction.zone_map(segments(t.mutations(spark, d, ttl=True))).withColumn("level", F.col("segment_id") % 3)
@@ -193,6 +207,14 @@ def _(spark, d):
     return compaction.merge(part, now(spark, d), False).select("seq", "key", "value", "tombstone", "expiry_ms")
 
 
+@query("kv_compact_partial_each", f"""SELECT part, seq, key, CASE WHEN NOT gone THEN value END AS value, gone AS tombstone, CASE WHEN NOT gone THEN expiry_ms END AS expiry_ms
+    FROM (SELECT *, tombstone OR coalesce(expiry_ms <= (SELECT max({MS}) FROM events), false) AS gone FROM (SELECT *, (seq // 100) % 4 AS part FROM ({TTL}) QUALIFY row_number() OVER (PARTITION BY (seq // 100) % 4, key ORDER BY seq DESC) = 1))""")
+def _(spark, d):
+    log, as_of = segments(t.mutations(spark, d, ttl=True), 100), now(spark, d)
+    parts = [compaction.merge(log.where(F.col("segment_id") % 4 == i), as_of, False).withColumn("part", F.lit(i).cast("long")) for i in range(4)]
+    return reduce(DataFrame.unionByName, parts).select("part", "seq", "key", "value", "tombstone", "expiry_ms")
+
+
 @query("kv_tombstone_gc", f"WITH l AS (SELECT *, seq // 100 AS segment_id FROM ({TOMB})) SELECT key FROM (SELECT * FROM l WHERE segment_id IN (0, 1) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE tombstone AND key NOT IN (SELECT key FROM l WHERE segment_id NOT IN (0, 1))")
 def _(spark, d):
     return compaction.collectable(segments(t.mutations(spark, d), 100), [0, 1])
