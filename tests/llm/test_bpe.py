@@ -63,3 +63,27 @@ def test_query_on_whole_table(spark):
         ids = lib.encode(source[r.doc_id] or "", add_special_tokens=False).ids
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_long_words_equal_the_library(name):
+    path = public_tokenizers.path(name)
+    voc, lib, rng = bpe.Vocabulary(path), Tokenizer.from_file(path), random.Random(8)
+    split, table = bpe.Splitter(voc), bpe.WordTable(voc)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for n, letters in ((257, "ab"), (5000, "a"), (5001, "theanding"), (60_000, base64), (1_000_000, base64)):
+        text = "x y " + "".join(rng.choice(letters) for _ in range(n)) + " é z"
+        got = [int(i) for r in table.rows(split(text)) for i in table.flat[table.starts[r] : table.starts[r] + table.lengths[r]]]
+        assert got == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_token_counts_on_whole_table(spark):
+    from tidelog.llm import queries
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    path = "/root/testdata/sf0.01"
+    source = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    rows = queries.QUERIES["op4_token_counts"](spark, path).collect()
+    assert len(rows) == len(source)
+    for r, found in zip(rows, lib.encode_batch([source[r.doc_id] for r in rows], add_special_tokens=False), strict=True):
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(source[r.doc_id].encode()), len(found.ids), len(found.ids) > 512)

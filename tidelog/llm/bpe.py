@@ -3,6 +3,9 @@
 Method. The symbols of many different words lie in one flat array. A round looks up every neighbouring pair by binary
 search over the sorted pair keys, takes each word's lowest rank, and applies that pair everywhere in its word at once
 (left to right where occurrences overlap). Words without a mergeable pair leave the array. Rounds end when none is left.
+A word of more than LONG symbols would need as many rounds as it has ranks, each over all of it: its pairs are kept by
+rank instead, and a step takes all places of its lowest rank and looks up only the pairs that change, so that a pasted
+run of a million letters costs time nearly in proportion.
 
 Defined results: a null text counts as empty; an empty text has no tokens; special strings inside a text are single
 tokens, as in the library's default. Repeated words cost one lookup: a task keeps the words it has met, up to a bound.
@@ -10,6 +13,7 @@ tokens, as in the library's default. Repeated words cost one lookup: a task keep
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import numpy as np
@@ -24,7 +28,9 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Bits that a symbol takes in a pair key, and the words and symbols that a task keeps at most.
-SHIFT, KEEP_WORDS, KEEP_SYMBOLS = 20, 400_000, 4_000_000
+SHIFT, KEEP_WORDS, KEEP_SYMBOLS = 20, 200_000, 2_000_000
+#: Symbols of a word from which on its pairs are kept by rank.
+LONG = 256
 
 
 def byte_letters() -> list[str]:
@@ -106,18 +112,87 @@ class Splitter:
         return out
 
 
+NONE = np.iinfo(np.int64).max
+
+
+def looked_up(left: np.ndarray, right: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs among the sorted pair keys, and their ranks (NONE for pairs that never merge)."""
+    key = left << SHIFT | right
+    at = np.minimum(np.searchsorted(voc.keys, key), len(voc.keys) - 1)
+    return at, np.where(voc.keys[at] == key, voc.ranks[at], NONE)
+
+
+def alternate(here: np.ndarray, overlaps: np.ndarray) -> np.ndarray:
+    """Of sorted places, every second one of each run of places that overlap the one before, from the run's first."""
+    index = np.arange(len(here))
+    run = np.maximum.accumulate(np.where(overlaps, 0, index))
+    return here[(index - run) % 2 == 0]
+
+
+def merged_long(symbols: np.ndarray, voc: Vocabulary) -> np.ndarray:
+    """The symbols of one long word after all merges."""
+    n = len(symbols)
+    symbols = symbols.copy()
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # the neighbours of each symbol that is left; n and -1: none
+    rank_at, made_at = np.full(n, NONE), np.zeros(n, np.int64)
+    places: dict[int, list[np.ndarray]] = {}
+    queue: list[int] = []
+
+    def put(at: np.ndarray) -> None:
+        at = at[after[at] < n]
+        key, rank = looked_up(symbols[at], symbols[after[at]], voc)
+        rank_at[at], made_at[at] = rank, voc.made[key]
+        at, rank = at[rank != NONE], rank[rank != NONE]
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        starts = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else np.zeros(0, np.int64)
+        for r, group in zip(rank[starts].tolist(), np.split(at, starts[1:]) if len(at) else [], strict=True):
+            if r not in places:
+                places[r] = []
+                heapq.heappush(queue, r)
+            places[r].append(group)
+
+    put(np.arange(n - 1))
+    while queue:
+        r = heapq.heappop(queue)
+        here = np.unique(np.concatenate(places.pop(r)))
+        here = here[rank_at[here] == r]
+        if not len(here):
+            continue
+        here = alternate(here, np.r_[False, after[here[:-1]] == here[1:]])
+        gone = after[here]
+        symbols[here] = made_at[here]
+        after[here] = after[gone]
+        inner = here[after[here] < n]
+        before[after[inner]] = inner
+        rank_at[gone], after[gone] = NONE, n
+        rank_at[here] = NONE
+        left = before[here]
+        symbols[gone] = -1
+        put(np.unique(np.concatenate([here, left[left >= 0]])))
+    return symbols[symbols >= 0]
+
+
 def merged(symbols: np.ndarray, lengths: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of each word after all merges, flat, and their number by word. Every length is 1 or more."""
+    if (lengths > LONG).any():
+        ends = np.cumsum(lengths)
+        long = lengths > LONG
+        parts: list[np.ndarray] = [None] * len(lengths)
+        for i in np.flatnonzero(long):
+            parts[i] = merged_long(symbols[ends[i] - lengths[i] : ends[i]], voc)
+        flat, counts = merged(symbols[np.repeat(~long, lengths)], lengths[~long], voc)
+        for i, part in zip(np.flatnonzero(~long), np.split(flat, np.cumsum(counts)[:-1]) if len(counts) else [], strict=True):
+            parts[i] = part
+        return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
     count = len(lengths)
     word = np.repeat(np.arange(count), lengths)
-    none = np.iinfo(np.int64).max
+    none = NONE
     done_symbols, done_words = [], []
     while len(symbols):
         starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        key = symbols[:-1] << SHIFT | symbols[1:]
-        at = np.minimum(np.searchsorted(voc.keys, key), len(voc.keys) - 1)
-        hit = (voc.keys[at] == key) & (word[1:] == word[:-1])
-        rank = np.append(np.where(hit, voc.ranks[at], none), none)
+        at, rank = looked_up(symbols[:-1], symbols[1:], voc)
+        rank = np.append(np.where(word[1:] == word[:-1], rank, none), none)
         least = np.minimum.reduceat(rank, starts)
         per_symbol = np.repeat(least, np.diff(np.r_[starts, len(symbols)]))
         over = per_symbol == none
@@ -127,9 +202,7 @@ def merged(symbols: np.ndarray, lengths: np.ndarray, voc: Vocabulary) -> tuple[n
         here = np.flatnonzero((rank == per_symbol) & ~over)
         if not len(here):
             break
-        fresh = np.r_[True, here[1:] != here[:-1] + 1]
-        run = here[np.maximum.accumulate(np.where(fresh, np.arange(len(here)), 0))]
-        here = here[(here - run) % 2 == 0]
+        here = alternate(here, np.r_[False, here[1:] == here[:-1] + 1])
         symbols = symbols.copy()
         symbols[here] = voc.made[at[here]]
         keep = ~over
@@ -199,12 +272,30 @@ def summed(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def encode(df: DataFrame, vocabulary: str, column: str = "text") -> DataFrame:
-    """df with token_ids (binary: ids as little-endian unsigned 32-bit integers) and n_tokens."""
+def decoder(voc: Vocabulary):
+    """The text of an array of ids: with word ends the tokens one blank apart (such a vocabulary has no decoder of its own), else their bytes."""
+    tokens, spaced = voc.tokens, voc.lower
+    back = {c: b for b, c in enumerate(byte_letters())}
+
+    def one(ids: np.ndarray) -> str:
+        got = map(tokens.__getitem__, ids.tolist())
+        if spaced:
+            return " ".join(got)
+        return bytes(back[c] for c in "".join(got)).decode("utf-8", errors="replace")
+
+    return one
+
+
+def encode(df: DataFrame, vocabulary: str, column: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """df (its columns keep) with token_ids (binary: ids as little-endian unsigned 32-bit integers) and n_tokens.
+
+    decoded: also with that column, as decode() gives it, from the same pass, so that no second worker holds a vocabulary.
+    """
     voc = Vocabulary(vocabulary)
 
     def make():
         splitter, words = Splitter(voc), WordTable(voc)
+        text_of = decoder(voc) if decoded else None
 
         def work(texts: list) -> dict:
             found, counts = split_all(splitter, texts)
@@ -213,35 +304,28 @@ def encode(df: DataFrame, vocabulary: str, column: str = "text") -> DataFrame:
             shift = np.cumsum(lengths) - lengths
             ids = words.flat[np.repeat(words.starts[rows] - shift, lengths) + np.arange(int(lengths.sum()))].astype("<u4")
             n = summed(lengths, counts)
-            ends = np.cumsum(n)
-            return {"token_ids": [ids[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)], "n_tokens": n}
+            each = [ids[e - k : e] for e, k in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
+            return {"token_ids": [x.tobytes() for x in each], "n_tokens": n} | ({"decoded": list(map(text_of, each))} if decoded else {})
 
         return work
 
-    return with_text_columns(df, [T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], make, column)
+    fields = [T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())] + [T.StructField("decoded", T.StringType())] * decoded
+    return with_text_columns(df, fields, make, column, keep)
 
 
-def decode(df: DataFrame, vocabulary: str, column: str = "token_ids") -> DataFrame:
-    """df with decoded: the tokens of its ids, special ones included.
-
-    A vocabulary with word ends has no decoder of its own, so its tokens stand one blank apart; byte-level tokens
-    join to bytes. Null ids decode to the empty string.
-    """
+def decode(df: DataFrame, vocabulary: str, column: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
+    """df (its columns keep) with decoded: the tokens of its ids, special ones included. Null ids decode to the empty string."""
     voc = Vocabulary(vocabulary)
-    tokens, spaced = voc.tokens, voc.lower
-    back = {c: b for b, c in enumerate(byte_letters())}
 
-    def one(ids: bytes | None) -> str:
-        got = map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())
-        if spaced:
-            return " ".join(got)
-        return bytes(back[c] for c in "".join(got)).decode("utf-8", errors="replace")
+    def make():
+        text_of = decoder(voc)
+        return lambda values: {"decoded": [text_of(np.frombuffer(v or b"", "<u4")) for v in values]}
 
-    return with_text_columns(df, [T.StructField("decoded", T.StringType())], lambda: lambda values: {"decoded": [one(v) for v in values]}, column)
+    return with_text_columns(df, [T.StructField("decoded", T.StringType())], make, column, keep)
 
 
-def count_tokens(df: DataFrame, vocabulary: str, limit: int = 512, column: str = "text") -> DataFrame:
-    """df with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
+def count_tokens(df: DataFrame, vocabulary: str, limit: int = 512, column: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """df (its columns keep) with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
     Counts only: the surviving symbols of each different pre-token, summed over the pre-tokens of a text.
     """
@@ -259,4 +343,4 @@ def count_tokens(df: DataFrame, vocabulary: str, limit: int = 512, column: str =
         return work
 
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    return with_text_columns(df, fields, make, column)
+    return with_text_columns(df, fields, make, column, keep)
