@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from tidelog.llm import decontaminate
 
 
@@ -42,7 +44,11 @@ def compare(spark, docs, items):
     return got
 
 
-def test_planted_and_odd(spark):
+@pytest.mark.parametrize("bits, broadcast", [(None, None), (0, 0), (1 << 12, 0)])
+def test_planted_and_odd(spark, monkeypatch, bits, broadcast):
+    if bits is not None:
+        monkeypatch.setattr(decontaminate, "GATE_BITS", bits)
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([3, 15, 15, 20, 40, 5, 60])] + [(90, ""), (91, None), (92, "x x x x x x x x x x x x x x x")]
@@ -56,7 +62,8 @@ def test_planted_and_odd(spark):
             if n == 5:
                 c = c[1:] + [word()]
             docs.append((100 + 10 * i + n, " ".join([word() for _ in range(rng.randint(0, 80))] + [x.upper() if n % 2 else x for x in c] + [word() for _ in range(rng.randint(0, 80))])))
-    docs += [docs[-1], (500, items[6][1].rsplit(" ", 6)[0])]
+    docs += [docs[-1], (500, items[6][1].rsplit(" ", 6)[0]), (None, items[2][1])]
+    items += [items[3], (items[3][0], items[4][1]), (None, items[2][1])]
     assert len(compare(spark, docs, items)) > 15
     assert compare(spark, [], items) == {} and compare(spark, docs, []) == {}
 
