@@ -76,8 +76,8 @@ def learn(df: DataFrame, column: str = "text", declared: str = "lang", key: str
     return np.vstack([np.log(share), np.full((1, BUCKETS), -np.log(BUCKETS))])
 
 
-def evidence(df: DataFrame, model: np.ndarray, column: str = "text") -> DataFrame:
-    """df with text_evidence, a log likelihood for each language and NONE (null where no letter is), markup_language, and text_language."""
+def evidence(df: DataFrame, model: np.ndarray, column: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """df (its columns keep) with text_evidence, a log likelihood for each language and NONE (null where no letter is), markup_language, and text_language."""
 
     def work(texts: list) -> dict:
         likelihoods, markup, best = [], [], []
@@ -96,7 +96,7 @@ def evidence(df: DataFrame, model: np.ndarray, column: str = "text") -> DataFram
         return {"text_evidence": likelihoods, "markup_language": markup, "text_language": best}
 
     fields = [T.StructField("text_evidence", T.ArrayType(T.DoubleType())), T.StructField("markup_language", T.StringType()), T.StructField("text_language", T.StringType())]
-    return with_text_columns(df, fields, lambda: work, column)
+    return with_text_columns(df, fields, lambda: work, column, keep)
 
 
 def host_of(address: Column) -> Column:
@@ -127,7 +127,7 @@ def identify(df: DataFrame, model: np.ndarray, column: str = "text", declared: s
         (F.lower(F.substring(F.col(declared).cast("string"), 1, 2)) if declared else absent).alias("declared_language"),
         (host_of(F.col(address)) if address else absent).alias("host"),
     )
-    seen = stored(evidence(given, model).drop("text").withColumn("declared", F.coalesce("markup_language", "declared_language")).drop("markup_language", "declared_language").withColumn("suffix", suffix_of(F.col("host"))))
+    seen = stored(evidence(given, model, keep=["key", "declared_language", "host"]).withColumn("declared", F.coalesce("markup_language", "declared_language")).drop("markup_language", "declared_language").withColumn("suffix", suffix_of(F.col("host"))))
 
     said = F.when(F.col("declared").isin(*LANGUAGES), F.col("declared")).when(F.col("declared").isNotNull(), F.lit("other"))
     table = {(r["text_language"], r["said"]): r["count"] for r in seen.withColumn("said", said).groupBy("text_language", "said").count().collect()}  # at most 5 x 6 rows

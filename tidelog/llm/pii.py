@@ -157,11 +157,11 @@ def redacted(text: str | None, found: list[dict]) -> str | None:
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("base", T.BooleanType())])
 
 
-def find(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with pii_spans, an array of (kind, start, end, score, base), and redacted, the text without them."""
+def find(df: DataFrame, column: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """df (its columns keep) with pii_spans, an array of (kind, start, end, score, base), and redacted, the text without them."""
 
     def work(texts: list) -> dict:
         found = [spans(t) for t in texts]
         return {"pii_spans": found, "redacted": [redacted(t, f) for t, f in zip(texts, found, strict=True)]}
 
-    return with_text_columns(df, [T.StructField("pii_spans", T.ArrayType(SPAN)), T.StructField("redacted", T.StringType())], lambda: work, column)
+    return with_text_columns(df, [T.StructField("pii_spans", T.ArrayType(SPAN)), T.StructField("redacted", T.StringType())], lambda: work, column, keep)

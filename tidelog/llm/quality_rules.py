@@ -129,7 +129,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: st
         return work
 
     fields = [T.StructField("at", T.BinaryType()), T.StructField("share", T.BinaryType())]
-    rows = with_text_columns(labelled(documents, labels, sample, label), fields, make).select("doc_id", "label", "at", "share").collect()
+    rows = with_text_columns(labelled(documents, labels, sample, label), fields, make, keep=["doc_id", "label"]).collect()
     rows.sort(key=lambda r: (r.doc_id, r.label))
     y = np.array([r.label for r in rows], dtype=np.float64)
     if len(set(y)) < 2:
@@ -149,8 +149,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: st
     return Model(w, b, float(slope[0]) / spread, offset)
 
 
-def apply(documents: DataFrame, model: Model, keep_from: float = KEEP_FROM, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT, column: str = "text") -> DataFrame:
-    """documents with the base counts, base_failed, probability and kept."""
+def apply(documents: DataFrame, model: Model, keep_from: float = KEEP_FROM, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT, column: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """documents (their columns keep) with the base counts, base_failed, probability and kept."""
 
     def make():
         hashes = Hashes()
@@ -165,4 +165,4 @@ def apply(documents: DataFrame, model: Model, keep_from: float = KEEP_FROM, min_
 
     counts = [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     fields = [*counts, T.StructField("base_failed", T.BooleanType()), T.StructField("probability", T.DoubleType()), T.StructField("kept", T.BooleanType())]
-    return with_text_columns(documents, fields, make, column)
+    return with_text_columns(documents, fields, make, column, keep)

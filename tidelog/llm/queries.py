@@ -17,14 +17,12 @@ def vocabulary(name: str) -> str:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("word_bpe_49k.json")
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    back = bpe.decode(coded, path)
-    return back.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    coded = bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"], decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.count_tokens(docs, vocabulary("byte_bpe_50k.json"), limit=512).drop("text")
+    return bpe.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512, keep=["doc_id"])
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +33,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.apply(docs, model).drop("text")
+    return quality_rules.apply(docs, model, keep=["doc_id"])
 
 
 def substring_digests(docs: DataFrame) -> DataFrame:
@@ -61,7 +59,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "redacted")
+    found = pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("redacted")
 
     def written(base: bool):
         return F.array_join(F.transform(F.filter("pii_spans", lambda x: x["base"] | F.lit(not base)), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -79,7 +77,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"))
-    return rule_ensemble.apply(docs, model, threshold=0.3).select("doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return rule_ensemble.apply(docs, model, threshold=0.3, keep=["doc_id"]).select("doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op5_substrings": op5_substrings, "op6_warc": op6_warc, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_decontamination": op9_decontamination, "op10_quality_classifier": op10_quality_classifier}

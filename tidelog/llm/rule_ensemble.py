@@ -43,14 +43,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % FOLDS == 0, F.lit(False))
 
 
-def statistics(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with one double column stat_<name> for each statistic of textstats.QUALITY."""
+def statistics(df: DataFrame, column: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """df (its columns keep) with one double column stat_<name> for each statistic of textstats.QUALITY."""
     names = [f"stat_{n}" for n in textstats.QUALITY]
 
     def work(texts: list) -> dict:
         return dict(zip(names, textstats.quality(texts).T, strict=True))
 
-    return with_text_columns(df, [T.StructField(n, T.DoubleType()) for n in names], lambda: work, column)
+    return with_text_columns(df, [T.StructField(n, T.DoubleType()) for n in names], lambda: work, column, keep)
 
 
 def grown(x: np.ndarray, binned: np.ndarray, edges: list[np.ndarray], residual: np.ndarray, allowed: np.ndarray, path: Rule, rows: np.ndarray, depth: int, rules: set, fitted: np.ndarray) -> None:
@@ -154,7 +154,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: st
     """A model of label 1, learned from labelled rows outside the held-out fold."""
     learn = labels.where(~held_out(F.col("doc_id")))
     names = [f"stat_{n}" for n in textstats.QUALITY]
-    rows = statistics(labelled(documents, learn, sample, label)).select("doc_id", "label", *names).collect()
+    rows = statistics(labelled(documents, learn, sample, label), keep=["doc_id", "label"]).select("doc_id", "label", *names).collect()
     rows.sort(key=lambda r: (r.doc_id, r.label))
     x = np.array([r[2:] for r in rows], dtype=np.float64).reshape(len(rows), len(names))
     return fit_arrays(x, np.array([r.label for r in rows], dtype=np.float64))
@@ -176,7 +176,7 @@ def compiled(model: Model) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def apply(documents: DataFrame, model: Model, threshold: float = 0.3, column: str = "text") -> DataFrame:
-    """documents with score (0 to 1) and predicted (1 from the threshold)."""
-    scored = statistics(documents, column).withColumn("score", compiled(model))
+def apply(documents: DataFrame, model: Model, threshold: float = 0.3, column: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """documents (their columns keep) with score (0 to 1) and predicted (1 from the threshold)."""
+    scored = statistics(documents, column, keep).withColumn("score", compiled(model))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*[f"stat_{n}" for n in textstats.QUALITY])

@@ -52,13 +52,13 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with fp, the fingerprint as a long of the same bits."""
+def fingerprints(df: DataFrame, column: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """df (its columns keep) with fp, the fingerprint as a long of the same bits."""
 
     def work(texts: list) -> dict:
         return {"fp": np.array([fingerprint(t) for t in texts], dtype="<u8").view("<i8")}
 
-    return with_text_columns(df, [T.StructField("fp", T.LongType())], lambda: work, column)
+    return with_text_columns(df, [T.StructField("fp", T.LongType())], lambda: work, column, keep)
 
 
 def references(n: int = PIVOTS) -> np.ndarray:
@@ -164,7 +164,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
 def cluster(df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
     """A row for each row of df: key, fp and component_id, the smallest key that its links reach."""
-    seen = stored(fingerprints(df.select(F.col(key).alias("key"), F.col(column).alias("text"))).drop("text"))
+    seen = stored(fingerprints(df.select(F.col(key).alias("key"), F.col(column).alias("text")), keep=["key"]))
     distinct = stored(seen.groupBy("fp").agg(F.min("key").alias("least")))
     roots = stored(components(near_links(distinct)))
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
