@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read back as the next stage's
 docs. All but the last return the columns of documents, over whole texts of all that the stage before kept.
+
+Defined results: verdicts follow rows, whatever their doc_id, so null and repeated ids are rows like any other; null and
+empty texts have no known language and go in the first stage; other columns than those of documents are left out, also
+where they are named as a column that a stage makes; empty tables pass all stages.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, decontaminate, language, pii, simhash
-from tidelog.llm.common import stored, table
+from tidelog.llm.common import removed, settled, stored, table
 from tidelog.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -52,7 +56,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mark in the place of each span of personal data; n_chars follows the text."""
-    found = pii.find(docs.select(*COLUMNS))
+    found = pii.find(docs.select(*COLUMNS), keep=["doc_id", "lang", "source", "n_chars"])
     changed = F.size("pii_spans") > 0
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.when(changed, F.char_length("redacted").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
@@ -60,8 +64,7 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, and whether the decoded tokens encode to the same ids' text."""
     path = vocabulary("word_bpe_49k.json")
-    coded = bpe.encode(docs.select("doc_id", "text"), path).drop("text")
-    return bpe.decode(coded, path).select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), "token_ids")
+    return bpe.encode(docs, path, keep=["doc_id"], decoded=True).select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), "token_ids")
 
 
 STAGES = [("language ID", identify_language), ("near duplicates", drop_near_duplicates), ("benchmark decontamination", drop_benchmark_leaks), ("personal data", remove_personal_data), ("tokens", encode_tokens)]
@@ -70,7 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage over what the others leave. What a stage stores on its way goes when it has ended, its result when the next one has."""
+    first = docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        kept = settled(spark, lambda: stage(spark, docs, sf_dir))  # noqa: B023
+        if docs is not first:
+            removed(spark, docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
