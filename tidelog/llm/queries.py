@@ -65,9 +65,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(F.filter("pii_spans", lambda x: x["base"] | F.lit(not base)), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
     def count(kind: str):
-        return F.size(F.filter("pii_spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("pii_spans", lambda x: (x["base"] | F.lit(kind in pii.ADDED)) & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, pii.BASE), F.sha2(written(True), 256).alias("base_sha256"), written(False).alias("spans"))
+    n_spans = F.size("pii_spans").cast("long").alias("n_spans")
+    return found.select("doc_id", n_spans, *map(count, pii.KINDS), F.sha2(written(True), 256).alias("base_sha256"), written(False).alias("spans"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
