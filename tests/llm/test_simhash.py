@@ -58,10 +58,10 @@ def test_links_equal_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(int(x),) for x in np.unique(fps).view("<i8")], "fp long")
     every = np.unique(fps)
     want = brute(every)
-    for most in (40_000, 6):
+    for most, n in ((40_000, 900), (6, 900), (40_000, 1 << 27), (40_000, 1 << 40)):
         monkeypatch.setattr(simhash, "BLOCK_MOST", most)
         monkeypatch.setattr(simhash, "SMALL", 5 if most == 6 else 48)
-        got = {r.node: r.root for r in simhash.components(simhash.near_links(df)).collect()}
+        got = {r.node: r.root for r in simhash.components(simhash.near_links(df, n)).collect()}
         groups = {}
         for x, w in zip(every.view("<i8").tolist(), want, strict=True):
             groups.setdefault(w, set()).add(got.get(x, x))
@@ -69,6 +69,11 @@ def test_links_equal_brute_force(spark, monkeypatch):
         assert len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_fields():
+    assert [len(simhash.fields_for(n)) for n in (0, 10**6, 10**8, 10**9, 10**12)] == [6, 6, 7, 7, 8]
+    assert all(sum(simhash.fields_for(n)) == 64 for n in (1, 1 << 27, 1 << 40))
+
+
 def test_cluster_odd_rows(spark):
     rows = [(3, None, 1), (1, "", 2), (2, "A b c d e", 3), (9, "a B c d e", 4), (None, "a b c d e", 5), (5, "other words are here now", 6)]
     got = {r.doc_id: r.component_id for r in simhash.cluster(spark.createDataFrame(rows, "doc_id long, text string, fp int")).collect()}

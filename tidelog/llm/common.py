@@ -80,6 +80,31 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def first_by_hash(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` different rows of df, those whose key has the smallest hash.
+
+    A cut of hashes goes first that leaves about twice `most` keys, so that at any size few rows are compared and sorted,
+    and a hot key takes one seat.
+    """
+    order = F.shiftrightunsigned(F.xxhash64(key), 1)
+    n = df.agg(F.approx_count_distinct(key)).first()[0]
+    if n > 4 * most:
+        df = df.where(order < int((1 << 63) / n * 2 * most))
+    return df.distinct().orderBy(order, *df.columns).limit(most)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, rows: str, parts: int = 1000) -> DataFrame:
+    """left joined to right, which has each key of left once and, in column rows, the number of left's rows with it.
+
+    Keys with more than 1 / parts of all rows are fewer than parts, so they are broadcast, and no shuffle brings a hot
+    key's rows together; the others are joined as Spark likes.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = right.where(F.col(rows) * parts > total).drop(rows)
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.where(F.col(rows) * parts <= total).drop(rows), on)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def removed(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a frame that stored() made and that nothing reads any more."""
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

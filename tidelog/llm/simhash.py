@@ -4,11 +4,16 @@ Method. Every different fingerprint gets its Hamming distances to PIVOTS referen
 RADIUS bits differ by RADIUS at most in each of these coordinates (triangle inequality), so a pair is discarded by its
 largest coordinate difference; only survivors are compared bit by bit.
 
-Blocks keep this from being a comparison of all pairs, without losing one: the 64 bits form six fields, and of two
-fingerprints that differ in at most four bits at least two fields are equal, so each fingerprint joins the 15 blocks of
-its pairs of fields. In a block, fingerprints go by their first coordinate, and a search from each one that is reached
-takes the rest of its component, so a dense block costs about its size, not its square. A block of more than BLOCK_MOST
-fingerprints is dealt in parts, and each two parts meet in one task. Only a forest of links leaves a task.
+Blocks keep this from being a comparison of all pairs, without losing one: the 64 bits form f fields, and of two
+fingerprints that differ in at most four bits at least f - 4 fields are equal, so each fingerprint joins a block for each
+choice of f - 4 of its fields: 15 of 21 bits with six fields, 35 of 27 with seven, 70 of 32 with eight. f follows from the
+number of fingerprints, so that chance alone brings about BLOCK_MEAN or fewer to a block. (Cells of pivot coordinates
+cannot stand in for the blocks: two random fingerprints agree in one coordinate up to RADIUS more than half the time.)
+In a block, fingerprints go by their first coordinate, and a search from each one that is reached takes the rest of its
+component, so a dense block costs about its size, not its square. A block of more than BLOCK_MOST fingerprints is dealt
+in parts, and each two parts meet in one task. Only a forest of links leaves a task.
+
+A fingerprint or a component with a large share of all rows is not gathered: rows meet their component in spread_join().
 
 Defined results: a null text counts as empty; texts without a word have fingerprint zero and are linked like any other.
 Rows with a null doc_id get the component of their fingerprint and never give it its name (null, if nobody else can).
@@ -25,13 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, with_text_columns
+from .common import spread_join, stored, with_text_columns
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-PIVOTS, BLOCK_MOST, SMALL, STEP = 32, 40_000, 48, 200_000
-#: Bits of the six fields, from the lowest.
-FIELDS = (11, 11, 11, 11, 10, 10)
+PIVOTS, BLOCK_MOST, BLOCK_MEAN, SMALL, STEP = 32, 40_000, 32, 48, 200_000
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -145,29 +148,40 @@ def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield found(pd.concat(held))
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links between different fingerprints (column fp), enough to connect all that are linked."""
-    bits, fields, at = F.col("fp"), [], 0
-    for width in FIELDS:
-        fields.append(F.shiftrightunsigned(bits, at).bitwiseAND((1 << width) - 1))
+def fields_for(n: int) -> list[int]:
+    """Bits of the fields, from the lowest, for n fingerprints: the fewest fields whose blocks have BLOCK_MEAN by chance, or eight."""
+    count = next((f for f in (6, 7) if n >> (64 * (f - RADIUS) // f) <= BLOCK_MEAN), 8)
+    return [64 // count + (i < 64 % count) for i in range(count)]
+
+
+def near_links(distinct: DataFrame, n: int) -> DataFrame:
+    """(a, b): links between n different fingerprints (column fp), enough to connect all that are linked."""
+    widths, fields, at = fields_for(n), [], 0
+    for width in widths:
+        fields.append((F.shiftrightunsigned("fp", at).bitwiseAND((1 << width) - 1), width))
         at += width
-    blocks = [F.lit(i << 24).cast("long") * F.lit(1 << 20) + fields[p] * F.lit(1 << 11) + fields[q] for i, (p, q) in enumerate(combinations(range(len(FIELDS)), 2))]
+    blocks = []
+    for i, chosen in enumerate(combinations(fields, len(widths) - RADIUS)):
+        packed = F.lit(i).cast("long")
+        for value, width in chosen:
+            packed = F.shiftleft(packed, width).bitwiseOR(value)
+        blocks.append(packed)
     member = distinct.select("fp", F.explode(F.array(*blocks)).alias("block"))
     crowded = member.groupBy("block").count().where(F.col("count") > BLOCK_MOST).withColumn("parts", F.ceil(F.col("count") * 2 / BLOCK_MOST).cast("int")).select("block", "parts")
-    few = stored(crowded)  # one of 15 x 2**22 possible blocks each, and rare: Spark broadcasts it if it is small
+    few = stored(crowded)  # rare: Spark broadcasts it if it is small
     dealt = member.join(few, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    met = dealt.withColumn("other", other).withColumn("other", F.when((F.col("parts") > 1) & (F.col("other") == F.col("part")), F.pmod(F.col("part") + 1, F.col("parts"))).otherwise(F.col("other")))
+    other = F.expr("array_distinct(transform(sequence(0, parts - 1), o -> CASE WHEN parts > 1 AND o = part THEN (part + 1) % parts ELSE o END))")
+    met = dealt.withColumn("other", F.explode(other))
     grouped = met.select("fp", F.when(F.col("parts") == 1, F.col("block")).otherwise(F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other"))).alias("group"))
-    return grouped.distinct().repartition("group").sortWithinPartitions("group").mapInPandas(linked, "a long, b long").distinct()
+    return grouped.repartition("group").sortWithinPartitions("group").mapInPandas(linked, "a long, b long").distinct()
 
 
 def cluster(df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
     """A row for each row of df: key, fp and component_id, the smallest key that its links reach."""
     seen = stored(fingerprints(df.select(F.col(key).alias("key"), F.col(column).alias("text")), keep=["key"]))
-    distinct = stored(seen.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = stored(components(near_links(distinct)))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return seen.join(classes, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    distinct = stored(seen.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("rows")))
+    roots = stored(components(near_links(distinct, distinct.count())))
+    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    classes = stored(spread_join(named.select("fp", "rows", "root"), names, "root", "members").select("fp", "rows", "component_id"))
+    return spread_join(seen, classes, "fp", "rows").select(F.col("key").alias(key), "fp", "component_id")
