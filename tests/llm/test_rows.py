@@ -47,6 +47,15 @@ def test_quality_rules(spark):
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept)
     judged = [(r.kept, labels[r.doc_id]) for r in rows if r.doc_id in labels and not r.base_failed]
     assert np.mean([k for k, q in judged if q == 1]) > 0.98
+    assert np.mean([k for k, q in judged if q == 0]) < 0.15
+
+
+def test_runs_are_of_characters():
+    hashes, accents, plain = quality_rules.Hashes(), "áéíóú", "abcde"
+    assert [len(quality_rules.run_buckets(t)) for t in (accents, plain, "🙂🙂", "", "a")] == [6, 6, 0, 0, 0]
+    model = quality_rules.Model(np.arange(2 * quality_rules.BUCKETS, dtype=float), 0.0, 1e-4, 0.0)
+    z = np.mean([quality_rules.BUCKETS + int(b) for b in quality_rules.run_buckets(accents)]) + int(quality_rules.word_buckets([accents.encode()], hashes)[0])
+    assert np.allclose(model.probability([accents], hashes), 1 / (1 + np.exp(-1e-4 * z)))
 
 
 def test_quality_rules_without_labels(spark):
@@ -55,11 +64,11 @@ def test_quality_rules_without_labels(spark):
     assert quality_rules.apply(docs, model).where("kept").count() == len([t for t in ODD if plain_base(t)[0] >= 20 and 100 * plain_base(t)[4] <= 30 * plain_base(t)[0]])
 
 
-def test_repeated_documents_do_not_widen_the_sample(spark):
+def test_repeated_rows_do_not_widen_the_sample(spark):
     docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None), (None, "c"), (3, "d")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (4, 0)], "doc_id long, quality int")
     rows = quality_rules.labelled(docs, labels, 10).collect()
-    assert sorted((r.doc_id, r.text or "", r.label) for r in rows) == [(1, "a", 1), (1, "a", 1), (2, "", 0)]
+    assert sorted((r.doc_id, r.text or "", r.label) for r in rows) == [(1, "a", 1), (2, "", 0)]
 
 
 def test_rule_ensemble(spark):

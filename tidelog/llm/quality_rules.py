@@ -1,6 +1,6 @@
 """Quality rules: fixed base rules, then a hashed n-gram logistic regression with calibrated probabilities.
 
-Method. Words, pairs of words and runs of three to five bytes are hashed to a fixed number of buckets; a text's features
+Method. Words, pairs of words and runs of three to five characters are hashed to a fixed number of buckets; a text's features
 are the buckets' shares. Weights are fitted on labelled texts, and a second fit on texts kept apart (Platt's two
 parameters) turns scores into probabilities. Executors score Arrow batches; verdicts follow from fixed thresholds.
 
@@ -8,7 +8,8 @@ Bound. The model is fitted on at most `sample` labelled rows, chosen by a hash o
 driver, never a count that grows with the corpus. Scores, counts and thresholds cover every row and whole texts.
 
 Defined results: a null or empty text has no words and fails the base rules; without labels of both kinds the model
-gives every text the share of good labels (1 if there is none); repeated labels of a doc_id count as often as they occur.
+gives every text the share of good labels (1 if there is none); equal labels of a doc_id count once;
+input columns named as those that apply() adds are replaced.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textstats
-from .common import with_text_columns
+from .common import first_by_hash, with_text_columns
 
-#: Buckets of words and of byte runs; powers of two.
+#: Buckets of words and of runs of characters; powers of two.
 BUCKETS = 4096
 #: Labelled rows that a fit takes at most, and the probability below which a text is rejected.
 SAMPLE, KEEP_FROM = 3000, 0.4
 #: Base rules: fewer words, or a larger percentage of words in repeated windows, fail.
 MIN_WORDS, MAX_REPEAT = 20, 30
-#: Odd multipliers that spread byte runs of 3, 4 and 5.
+#: Odd multipliers that spread runs of 3, 4 and 5 characters.
 SPREAD = {3: 0x9E3779B97F4A7C15, 4: 0xC2B2AE3D27D4EB4F, 5: 0x165667B19E3779F9}
 
 
@@ -50,13 +51,14 @@ def word_buckets(words: list[bytes], hashes: Hashes) -> np.ndarray:
     return np.concatenate([h * np.uint64(0x9E3779B97F4A7C15), pairs]) >> np.uint64(52)
 
 
-def byte_buckets(raw: bytes) -> np.ndarray:
-    b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    out, run = [], b
+def run_buckets(text: str) -> np.ndarray:
+    """Buckets of the runs of code points of the lengths in SPREAD."""
+    c = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    out, run = [], c
     for n in (2, 3, 4, 5):
         if len(run) < 2:
             break
-        run = run[:-1] << np.uint64(8) | b[n - 1 :]
+        run = run[:-1] * np.uint64(0x100000001B3) + c[n - 1 :]
         if n in SPREAD:
             out.append((run * np.uint64(SPREAD[n])) >> np.uint64(52))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -64,7 +66,7 @@ def byte_buckets(raw: bytes) -> np.ndarray:
 
 @dataclasses.dataclass
 class Model:
-    weights: np.ndarray  # of word buckets, then of byte buckets
+    weights: np.ndarray  # of word buckets, then of buckets of runs
     bias: float
     slope: float
     offset: float
@@ -72,8 +74,7 @@ class Model:
     def probability(self, texts: list[str | None], hashes: Hashes) -> np.ndarray:
         out = np.empty(len(texts))
         for i, t in enumerate(texts):
-            raw = (t or "").encode("utf-8")
-            words, runs = word_buckets(raw.split(), hashes), byte_buckets(raw)
+            words, runs = word_buckets((t or "").encode("utf-8").split(), hashes), run_buckets(t or "")
             z = self.bias
             z += float(self.weights[:BUCKETS][words].mean()) if len(words) else 0.0
             z += float(self.weights[BUCKETS:][runs].mean()) if len(runs) else 0.0
@@ -82,9 +83,8 @@ class Model:
 
 
 def features(text: str | None, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets that occur, and their shares among the words' and among the byte runs' buckets."""
-    raw = (text or "").encode("utf-8")
-    words, runs = word_buckets(raw.split(), hashes), byte_buckets(raw)
+    """Buckets that occur, and their shares among the words' and among the runs' buckets."""
+    words, runs = word_buckets((text or "").encode("utf-8").split(), hashes), run_buckets(text or "")
     dense = np.concatenate([np.bincount(x.astype(np.int64), minlength=BUCKETS) / max(len(x), 1) for x in (words, runs)])
     at = np.flatnonzero(dense)
     return at.astype(np.int32), dense[at].astype(np.float32)
@@ -95,7 +95,7 @@ def labelled(documents: DataFrame, labels: DataFrame, sample: int, label: str =
 
     Of documents with one doc_id the smallest text counts, so that repeated rows cannot widen the sample.
     """
-    few = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    few = first_by_hash(labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")), "doc_id", sample)
     named = F.broadcast(few.select("doc_id").distinct())
     texts = documents.select("doc_id", "text").join(named, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     return texts.join(F.broadcast(few), "doc_id")
