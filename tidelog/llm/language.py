@@ -9,11 +9,12 @@ Method. Four kinds of evidence meet in one posterior over the known languages an
             smoothed towards the whole corpus.
 Counts by declaration, suffix and host cover every row. A hot host is counted before the shuffle and joined salted.
 
-Bound. Word and byte-run frequencies are learned on the rows of at most `sample` keys of each declared known language,
-the first by hash, so that a rare language has its rows at every size.
+Bound. Word and byte-run frequencies are learned on at most `sample` rows of each declared known language, the first by
+the hash of their key and one for each key, so that a rare language has its rows at every size.
 
 Defined results: without a letter in it a text (so also a null or empty one) is "und" with confidence 1; missing
-declarations, addresses and hosts are no evidence; ties go to the first language by name. Rejected (kept is false) are
+declarations, addresses and hosts are no evidence; ties go to the first language by name; a text is markup if it has an
+<html tag: its first one may declare a language, and tags are no words of it. Rejected (kept is false) are
 texts that are "und" or whose best language has a posterior under KEEP_FROM.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, with_text_columns
+from .common import first_by_hash, stored, with_text_columns
 
 LANGUAGES, NONE = ("de", "en", "es", "fr"), "und"
 BUCKETS, SAMPLE, KEEP_FROM = 8192, 4000, 0.5
@@ -38,7 +39,7 @@ TEMPER, MOST = 0.15, 400
 #: Strength of a parent's share against a child's counts, prior weight of "und", and copies of a host's row in the join.
 HOST_PULL, SUFFIX_PULL, NONE_SHARE, SALTS = 20.0, 50.0, 0.01, 16
 
-MARKUP = re.compile(r"<html[^>]{0,400}?\blang\s*=\s*[\"']?([A-Za-z]{2})", re.IGNORECASE)
+TAG, DECLARES, MARKS = re.compile(r"<html\b", re.IGNORECASE), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2})", re.IGNORECASE), re.compile(r"<[^<>]*>")
 LETTER, DIGIT = re.compile(r"[^\W\d_]"), re.compile(r"\d")
 
 
@@ -58,8 +59,8 @@ def buckets(text: str) -> np.ndarray:
 
 def learn(df: DataFrame, column: str = "text", declared: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> np.ndarray:
     """Log frequencies, a row for each of LANGUAGES and an even one for NONE."""
-    few = reduce(DataFrame.unionByName, [df.where((F.col(declared) == c) & F.col(key).isNotNull()).select(key, declared).distinct().orderBy(F.xxhash64(key), key).limit(sample) for c in LANGUAGES])
-    rows = df.select(key, declared, column).join(F.broadcast(few), [key, declared]).select(declared, column)
+    few = reduce(DataFrame.unionByName, [first_by_hash(df.where((F.col(declared) == c) & F.col(key).isNotNull()).select(key, declared), key, sample) for c in LANGUAGES])
+    rows = df.select(key, declared, column).join(F.broadcast(few), [key, declared]).groupBy(key, declared).agg(F.min(column).alias(column)).select(declared, column)
 
     def tally(batches):
         out = np.zeros((len(LANGUAGES), BUCKETS))
@@ -76,24 +77,32 @@ def learn(df: DataFrame, column: str = "text", declared: str = "lang", key: str
     return np.vstack([np.log(share), np.full((1, BUCKETS), -np.log(BUCKETS))])
 
 
+def markup(text: str) -> tuple[str | None, str]:
+    """The language that a text's first <html tag declares, and the text without tags; a text without that tag stays as it is."""
+    if not (tag := TAG.search(text)):
+        return None, text
+    end = text.find(">", tag.end())
+    m = DECLARES.search(text, tag.end(), end if end >= 0 else len(text))
+    return m[1].lower() if m else None, MARKS.sub(" ", text)
+
+
 def evidence(df: DataFrame, model: np.ndarray, column: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df (its columns keep) with text_evidence, a log likelihood for each language and NONE (null where no letter is), markup_language, and text_language."""
 
     def work(texts: list) -> dict:
-        likelihoods, markup, best = [], [], []
+        likelihoods, said, best = [], [], []
         for t in texts:
+            lang, t = markup(t) if t and "<" in t else (None, t)
+            said.append(lang)
             if not t or not LETTER.search(t):
                 likelihoods.append(None)
-                markup.append(None)
                 best.append(NONE)
                 continue
             at = buckets(t)
             ll = model[:, at].mean(axis=1) * (TEMPER * min(len(at), MOST)) if len(at) else np.zeros(len(model))
             likelihoods.append(ll.tolist())
-            m = MARKUP.search(t) if "<" in t else None
-            markup.append(m[1].lower() if m else None)
             best.append([*LANGUAGES, NONE][int(ll.argmax())] if len(at) else NONE)
-        return {"text_evidence": likelihoods, "markup_language": markup, "text_language": best}
+        return {"text_evidence": likelihoods, "markup_language": said, "text_language": best}
 
     fields = [T.StructField("text_evidence", T.ArrayType(T.DoubleType())), T.StructField("markup_language", T.StringType()), T.StructField("text_language", T.StringType())]
     return with_text_columns(df, fields, lambda: work, column, keep)

@@ -58,6 +58,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.learn(docs))
 
 
+def language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of pages by their text, the language that their markup declares, and their address."""
+    model = language.learn(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return language.identify(table(spark, sf_dir, "pages"), model, column="html", declared=None, address="url", key="page_id")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("redacted")
 
@@ -81,7 +87,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.apply(docs, model, threshold=0.3, keep=["doc_id"]).select("doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op5_substrings": op5_substrings, "op6_warc": op6_warc, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_decontamination": op9_decontamination, "op10_quality_classifier": op10_quality_classifier}
+QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op5_substrings": op5_substrings, "op6_warc": op6_warc, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_decontamination": op9_decontamination, "op10_quality_classifier": op10_quality_classifier, "language_pages": language_pages}
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
