@@ -28,7 +28,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Bits that a symbol takes in a pair key, and the words and symbols that a task keeps at most.
-SHIFT, KEEP_WORDS, KEEP_SYMBOLS = 20, 200_000, 2_000_000
+SHIFT, KEEP_WORDS, KEEP_SYMBOLS = 20, 150_000, 1_500_000
 #: Symbols of a word from which on its pairs are kept by rank.
 LONG = 256
 

@@ -2,18 +2,22 @@
 
 Writing. Each page becomes one record. Of pages with equal payloads of REVISIT_FROM bytes or more, the one with the
 smallest page_id is a response; the others revisit it and carry no payload. Spark's text writer puts the records into
-gzip files of a bounded number of records in the shared folder: header, block and the two line ends are text, so a file
-is a valid archive and executors need no file system but Spark's.
+gzip files in the shared folder: header, block and the two line ends are text, so a file is a valid archive and executors
+need no file system but Spark's. Records are written by classes of size, each with its number of records a file, so that
+no file holds more than FILE_BYTES of pages, or one page that is larger by itself.
 
 Reading. Every archive is read whole, cut by Content-Length, and its payload digests are checked; its captures, sorted by
 URL key and time, are one run of the index.
 
-Merging. Runs are dealt by ranges of (URL key, time, page_id); in each range a loser tree merges what the runs bring,
-so the index is ordered within and across its partitions. A hot URL key spreads over ranges by time and page_id.
+Merging. Runs are dealt by ranges of (URL key, time, page_id); in each range Spark hands them over run by run, each in its
+order, and a loser tree merges them. The tree holds a few decoded rows of each run; the rest waits in Arrow blocks. So the
+index is ordered within and across its partitions. A hot URL key spreads over ranges by time and page_id.
 
 Defined results: null html is an empty payload; a null url has URL key "" and no target line; a null page_id is no
 response's id: such a page is a response unless another page has its payload; equal page_ids with equal payloads are all
-responses. Control characters and blanks in a url are percent-encoded.
+responses. A url comes back as it was, whatever its characters: its target line has blanks and control characters
+percent-encoded, a line of its own has it in full. Without capture times given, a page's is made from page_id, within
+twenty years; times that are null or outside the years 1 to 9999 count as the start of 1970.
 """
 
 from __future__ import annotations
@@ -21,15 +25,20 @@ from __future__ import annotations
 import gzip
 import hashlib
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import unquote_plus
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import deleted_at_exit, made, shared_dir, small_batches, stored
 
-REVISIT_FROM, FILE_RECORDS, MERGE_ROWS = 100, 2000, 100_000
+REVISIT_FROM, MERGE_ROWS, DECODED = 100, 100_000, 256
+#: Bytes of pages that an archive holds, and the largest page of each class of sizes but the last.
+FILE_BYTES, CLASSES = 32 << 20, (16 << 10, 256 << 10, 4 << 20)
+#: Made-up capture times: the first, and the seconds that they spread over.
+FIRST, SPAN = 1_704_067_200, 20 * 365 * 86_400
 #: Fixed value: the profile that marks a record as a repeat of an equal payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END, LINE = "\r\n\r\n", "\r\n"
@@ -51,28 +60,33 @@ def line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(LINE))
 
 
+def instant(pages: DataFrame, captured: Column | None) -> Column:
+    made_up = F.timestamp_seconds(F.lit(FIRST) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(SPAN)))
+    when = made_up if captured is None else F.when(F.year(captured).between(1, 9999), captured.cast("timestamp"))
+    return F.date_format(F.coalesce(when, F.timestamp_seconds(F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def records(pages: DataFrame, captured: Column | None = None) -> DataFrame:
-    """One string column: the records without their closing line ends.
+    """size (bytes of page and url) and record, a string without its closing line ends.
 
     Pages meet their digest's first page_id in a join; a digest that very many pages share is counted before it, and the
     adaptive planner splits its side.
     """
-    when = captured if captured is not None else F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce(F.col("page_id"), F.lit(0)))
     rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at")
+        F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), instant(pages, captured).alias("at")
     ).withColumns({"digest": F.sha2(F.encode("html", "UTF-8"), 256), "size": F.octet_length("html")})
     few = rows.where(F.col("size") >= REVISIT_FROM).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
     joined = rows.join(stored(few), F.col("digest") == F.col("d"), "left")
     repeat = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{LINE}Content-Type: text/html; charset=utf-8{LINE}"), line("Content-Length", F.col("size")), F.lit(LINE))
     block = F.when(repeat, F.lit("")).otherwise(F.concat(http, "html"))
-    clean = F.regexp_replace(F.regexp_replace("url", "%(?![0-9A-Fa-f]{2})", "%25"), r"[\x00-\x20\x7F]", "%20")
     header = F.concat(
         F.lit(f"WARC/1.1{LINE}"),
         line("WARC-Type", F.when(repeat, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">"))),
         line("WARC-Date", F.col("at")),
-        F.coalesce(line("WARC-Target-URI", clean), F.lit("")),
+        F.coalesce(line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")), F.lit("")),
+        F.coalesce(line("X-Page-URL", F.url_encode("url")), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
         line("WARC-Payload-Length", F.col("size")),
         F.when(repeat, F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
@@ -80,13 +94,25 @@ def records(pages: DataFrame, captured: Column | None = None) -> DataFrame:
         line("Content-Length", F.octet_length(block)),
         F.lit(LINE),
     )
-    return joined.select(F.concat(header, block).alias("record"))
+    return joined.select((F.col("size") + F.coalesce(F.octet_length("url"), F.lit(0))).alias("size"), F.concat(header, block).alias("record"))
 
 
 def write(pages: DataFrame, path: str | None = None, captured: Column | None = None) -> str:
     """Writes the archives of pages (page_id, url, html) and returns their folder."""
-    path = path or shared_dir(pages.sparkSession)
-    records(pages, captured).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    spark = pages.sparkSession
+    if not path:
+        path = shared_dir(spark)
+        (made[-1].append if made else lambda p: deleted_at_exit(spark, p))(path)
+    bytes_of = F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0))
+    kind = F.lit(len(CLASSES))
+    for i, most in reversed(list(enumerate(CLASSES))):
+        kind = F.when(bytes_of <= most, i).otherwise(kind)
+    found = sorted(r[0] for r in pages.select(kind.alias("kind")).distinct().collect())
+    made_of = records(pages, captured)
+    for i in found or [0]:
+        low, high = (CLASSES[i - 1] if i else -1), (CLASSES[i] if i < len(CLASSES) else None)
+        part = made_of.where((F.col("size") > low) & (F.col("size") <= high if high else F.lit(True))).select("record")
+        part.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES // high) if high else 1).text(path)
     return path
 
 
@@ -128,42 +154,57 @@ def captures(data: bytes, run: str) -> list[tuple]:
             payload = block[block.index(b"\r\n\r\n") + 4 :]
             if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
                 raise ValueError(f"{run}: the payload at byte {offset} does not have its digest")
-        url = header.get("warc-target-uri", "")
-        out.append((page_of(header["warc-record-id"]), unquote(url) if "%20" in url or "%25" in url else url, url_key(url), header["warc-date"], size, digest, kind, page_of(header["warc-refers-to"]) if kind == "revisit" else None, run, offset, length))
+        url = unquote_plus(header["x-page-url"]) if "x-page-url" in header else header.get("warc-target-uri", "")
+        out.append((page_of(header["warc-record-id"]), url, url_key(url), header["warc-date"], size, digest, kind, page_of(header["warc-refers-to"]) if kind == "revisit" else None, run, offset, length))
     return sorted(out, key=order)
 
 
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    fields = [c.split() for c in CAPTURE.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(column, type=kinds[kind]) for column, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)], names=[name for name, _ in fields])
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The captures of all archives in path, a sorted run for each archive."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in CAPTURE.split(", ")]
-        for f in frames:
-            for name, content in zip(f["path"], f["content"], strict=True):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 rows = captures(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content, name.rpartition("/")[2])
-                frame = pd.DataFrame(rows, columns=names)
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+                if rows:
+                    yield batch_of(rows)
 
+    small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInPandas(work, CAPTURE)
+    return files.mapInArrow(work, CAPTURE)
+
+
+def decoded(blocks: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of a run's blocks, of which a few are decoded at a time; a block is let go when it has been read."""
+    blocks.reverse()
+    while blocks:
+        block = blocks.pop()
+        for lo in range(0, block.num_rows, DECODED):
+            yield from zip(*(c.to_pylist() for c in block.slice(lo, DECODED).columns), strict=True)
 
 
 class LoserTree:
-    """Merges sorted lists: inner nodes keep the losers of their matches, so the next row costs one path to the top."""
+    """Merges sorted runs: inner nodes keep the losers of their matches, so the next row costs one path to the top."""
 
-    def __init__(self, runs: list[list[tuple]]):
-        self.runs, self.at = runs, [0] * len(runs)
+    def __init__(self, runs: list[Iterator[tuple]]):
+        self.runs = [iter(r) for r in runs]
+        self.head: list[tuple | None] = [next(r, None) for r in self.runs]
+        self.key = [None if h is None else order(h) for h in self.head]
         self.size = max(1, len(runs))
         self.loser = [-1] * self.size
         self.top = -1
         for i in range(len(runs)):
             self.play(i)
 
-    def key(self, i: int):
-        return order(self.runs[i][self.at[i]]) if self.at[i] < len(self.runs[i]) else None
-
     def beats(self, i: int, j: int) -> bool:
-        a, b = self.key(i), self.key(j)
+        a, b = self.key[i], self.key[j]
         return b is None or (a is not None and (a, i) < (b, j))
 
     def play(self, i: int) -> None:
@@ -179,40 +220,43 @@ class LoserTree:
         self.top = i
 
     def __iter__(self) -> Iterator[tuple]:
-        while self.top >= 0 and self.key(self.top) is not None:
+        while self.top >= 0 and self.head[self.top] is not None:
             i = self.top
-            yield self.runs[i][self.at[i]]
-            self.at[i] += 1
+            yield self.head[i]
+            past, self.head[i] = self.key[i], next(self.runs[i], None)
+            self.key[i] = None if self.head[i] is None else order(self.head[i])
+            if self.key[i] is not None and self.key[i] < past:
+                raise ValueError("a run is not in order")
             self.play(i)
 
 
 def merged(captured: DataFrame) -> DataFrame:
     """The captures in global order: by URL key, time and page_id within a partition, and partitions one after another."""
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs: dict[str, list[tuple]] = {}
-        names: list[str] = []
-        for f in frames:
-            names = list(f.columns)
-            f = f.astype(object).where(f.notna(), None)
-            for row in f.itertuples(index=False, name=None):
-                row = (None if row[0] is None else int(row[0]), *row[1:7], None if row[7] is None else int(row[7]), *row[8:])
-                runs.setdefault(row[8], []).append(row)
-        lists = [runs[k] for k in sorted(runs)]
-        for rows in lists:  # a run's rows may come in several blocks
-            rows.sort(key=order)
+    names = [c.split()[0] for c in CAPTURE.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: dict[str, list[pa.RecordBatch]] = {}
+        for batch in batches:  # run by run
+            run = batch.column(names.index("run")).dictionary_encode()
+            at = run.indices.to_numpy()
+            edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                runs.setdefault(run[lo].as_py(), []).append(batch.slice(lo, hi - lo))
         held: list[tuple] = []
-        for row in LoserTree(lists) if lists else ():
+        for row in LoserTree([decoded(runs.pop(k)) for k in sorted(runs)]):
             held.append(row)
-            if len(held) == MERGE_ROWS:
-                yield pd.DataFrame(held, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            if len(held) == DECODED * 16:
+                yield batch_of(held)
                 held = []
         if held:
-            yield pd.DataFrame(held, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield batch_of(held)
 
     runs = stored(captured)
-    parts = max(1, -(-runs.count() // MERGE_ROWS))
-    return runs.repartitionByRange(max(parts, 8), "url_key", "captured", "page_id", "run", "offset").mapInPandas(work, CAPTURE)
+    small_batches(captured.sparkSession)
+    parts = max(8, -(-runs.count() // MERGE_ROWS))
+    place = ["url_key", "captured", "page_id", "run", "offset"]
+    dealt = runs.repartitionByRange(parts, *place).sortWithinPartitions("run", *place)
+    return dealt.mapInArrow(work, CAPTURE)
 
 
 def index(pages: DataFrame, path: str | None = None, captured: Column | None = None) -> DataFrame:
