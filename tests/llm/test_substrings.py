@@ -40,17 +40,39 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("most", [5000, 2])
-def test_planted(spark, monkeypatch, most):
+@pytest.mark.parametrize("most, step, ids", [(60_000, 400_000, 2_000_000), (150, 500, 0), (1, 500, 2_000_000)])
+def test_planted(spark, monkeypatch, most, step, ids):
     from tidelog.llm import queries
 
-    monkeypatch.setattr(substrings, "GROUP_MOST", most)
-    monkeypatch.setattr(substrings, "STEP", 600_000 if most > 2 else 500)
+    for name, value in (("GROUP_WORDS", most), ("STEP", step), ("IDS_MOST", ids)):
+        monkeypatch.setattr(substrings, name, value)
     rows = planted()
     got = queries.substring_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute(rows)
 
 
+def test_nodes_equal_brute_force():
+    rng = random.Random(6)
+    base = [rng.choice("ab").encode() for _ in range(200)]
+    lists = [base[i : i + n] for i, n in ((0, 92), (10, 60), (10, 90), (150, 50), (0, 49))] + [[b"x"] * 70, [b"x"] * 55, [b"y"] + [b"x"] * 64]
+    segment, place, node, depth = substrings.suffix_nodes(lists)
+    suffixes = [lists[s][p:] for s, p in zip(segment.tolist(), place.tolist(), strict=True)]
+    every = [w[i:] for w in lists for i in range(len(w) - 49)]
+    assert sorted(suffixes) == sorted(every) and suffixes == sorted(suffixes, key=lambda w: [substring_code(lists, x) for x in w])
+    groups = {}
+    for w, n in zip(suffixes, node.tolist(), strict=True):
+        groups.setdefault(n, []).append(w)
+    assert len({tuple(g[0][:50]) for g in groups.values()}) == len(groups)
+    for n, g in groups.items():
+        assert len({tuple(w[:50]) for w in g}) == 1
+        assert depth[n] == next((i for i in range(92) if any(i >= len(w) for w in g) or len({w[i] for w in g}) > 1), 92)
+
+
+def substring_code(lists, word):
+    """Words count in the order of their first use, as the suffixes are sorted."""
+    return list(dict.fromkeys(x for w in lists for x in w)).index(word)
+
+
 def test_empty(spark):
     from tidelog.llm import queries
 

@@ -1,20 +1,25 @@
-"""Substring dedup: runs of 50 or more words that an earlier document holds are cut, by partitioned suffix trees.
+"""Substring dedup: runs of 50 or more words that an earlier document holds are cut, by prefix-partitioned suffix trees.
 
 Method. A suffix tree over all texts has a node of depth 50 or more for every run of 50 words that occurs twice; the
 smallest document under the node keeps the run. The tree is built in parts:
   copies    of texts with equal words the smallest doc_id stands for all;
-  split     a window of 50 words goes by its smallest 8-word gram (by hash). Equal windows agree in it, so it serves as
-            the first label of the partition: shipping each suffix by its leading words would ship 50 words for each
-            word. Windows in a row with one gram travel as one segment, about two words for each window;
+  anchor    a window of 50 words is entered under its smallest 8-word gram (by hash), read from the gram on. Equal windows
+            agree in it, so the gram is the first label of the partition, a prefix of 8 words. Entering each window under
+            its own first words would ship 50 words for each word; windows in a row with one gram travel as one segment,
+            about two words for each window;
   prune     grams that only one document has are no repeats; counts decide before any word is shipped;
-  subtrees  equal segments collapse to one with its smallest doc_id. A task takes whole groups up to a bounded number of
-            words and names the prefixes of their suffixes at lengths 1, 2, 4 ... 32 and 50 (prefix doubling): names at a
-            length are the tree's nodes at that depth, and those at 50 the deep ones;
-  crowded   a group of more than GROUP_MOST different segments (the edges of a passage that very many documents hold)
-            goes window by window: nodes get the hash of their 50 words, and a grouped minimum replaces the tree.
+  prefixes  equal segments collapse to one with its smallest and largest doc_id. Groups that hold more than GROUP_WORDS
+            words get longer prefixes, all others stay: 16 words from the anchor, then 25, then all 50. A window with 25
+            words from its anchor on is read forwards, another backwards from the anchor's end, so all of them have a
+            prefix of that length. What a longer prefix leaves to a single document is dropped;
+  subtrees  a task takes whole groups up to a bounded number of words, sorts their suffixes (ranks of prefixes of 1, 2, 4
+            ... 64 words) and takes the longest common prefixes of neighbours. A run of neighbours with 50 or more is an
+            internal node of the suffix tree; the least of them is the node's depth: its words are a repeat that no
+            further word to the right would leave as frequent, and its leaves know the smallest doc_id that has it.
+            Prefixes of 50 words are such nodes already: a grouped minimum serves them.
 
 Defined results: a null text counts as empty; texts under 50 words lose nothing; a null doc_id neither takes nor loses
-words; rows with one doc_id are one document, so repeated rows lose nothing to each other.
+words; rows with one doc_id are one document, so repeated rows lose nothing to each other; other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,12 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, with_text_columns
+from .common import small_batches, stored, with_text_columns
 from .textstats import coded, ranks
 
 WINDOW, GRAM = 50, 8
-#: Different segments that a group may bring to a subtree, and words that a task names at a time.
-GROUP_MOST, STEP = 5_000, 600_000
+#: Words that a group may bring to a subtree, and words that a task sorts at a time.
+GROUP_WORDS, STEP = 60_000, 400_000
+#: Lengths of the longer prefixes of crowded groups; the last but one is the half that any window has on one side of its anchor.
+PREFIXES = (16, 25, WINDOW)
+#: Ids that are broadcast at most, to read only the texts that are concerned.
+IDS_MOST = 2_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,14 +63,19 @@ def shifted(x: np.ndarray, by: int, fill: int) -> np.ndarray:
     return out
 
 
-def window_keys(codes: np.ndarray) -> np.ndarray:
-    """For each place, the smallest gram hash of the window that starts there; of use where the window fits its text."""
+def gram_hashes(codes: np.ndarray) -> np.ndarray:
+    """For each place, a hash of the GRAM words from there; of use where they fit."""
     gram, width = codes, 1
     while width < GRAM:
         gram = gram * ODD + shifted(gram, width, 0)
         gram ^= gram >> np.uint64(29)
         width *= 2
-    low, width, span = gram, 1, WINDOW - GRAM + 1
+    return gram
+
+
+def window_keys(codes: np.ndarray) -> np.ndarray:
+    """For each place, the smallest gram hash of the window that starts there; of use where the window fits its text."""
+    low, width, span = gram_hashes(codes), 1, WINDOW - GRAM + 1
     while 2 * width <= span:
         low = np.minimum(low, shifted(low, width, -1 % 2**64))
         width *= 2
@@ -69,7 +83,7 @@ def window_keys(codes: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs with n_words, sha (of the words joined by one blank), and keys, starts, ends of the runs of windows with one key."""
+    """doc_id with n_words, sha (of the words joined by one blank), and keys, starts, ends of the runs of windows with one key."""
 
     def make():
         hashes = Hashes()
@@ -94,26 +108,52 @@ def scan(docs: DataFrame) -> DataFrame:
 
     longs = T.ArrayType(T.LongType())
     fields = [T.StructField("n_words", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("keys", longs), T.StructField("starts", longs), T.StructField("ends", longs)]
-    return with_text_columns(docs, fields, make)
+    return with_text_columns(docs, fields, make, keep=["doc_id"])
 
 
-def deep_nodes(lists: list[list[bytes]], least: np.ndarray) -> list[np.ndarray]:
-    """For each window of each segment, the smallest doc_id of the depth-50 node under which its suffix stands."""
+def suffix_nodes(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of all segments that hold a window: segment and place of each, in the order of their words, the number
+    of its internal node of depth WINDOW or more (those that share no window have one alone), and the depths of the nodes."""
     flat, counts = coded(lists)
     n = len(flat)
     left = np.repeat(np.cumsum(counts), counts) - np.arange(n)
-    name, width = flat, 1
-    while width < 32:
-        fit = np.flatnonzero(left >= 2 * width)
-        longer = np.full(n, -1, np.int64)
-        longer[fit] = ranks(name[fit] * np.int64(name.max() + 2) + name[fit + width] + 1)
-        name, width = longer, 2 * width
+    longest = int(counts.max(initial=1))
+    names, width = [flat], 1
+    while 2 * width <= longest:  # a suffix that ends within the prefix comes first, as its missing words count as -1
+        tail = np.full(n, -1, np.int64)
+        fit = np.flatnonzero(left > width)
+        tail[fit] = names[-1][fit + width]
+        names.append(ranks(names[-1] * np.int64(int(names[-1].max()) + 2) + tail + 1))
+        width *= 2
     starts = np.flatnonzero(left >= WINDOW)
-    node = ranks(name[starts] * np.int64(name.max() + 2) + name[starts + WINDOW - 32] + 1)
-    segment = np.repeat(np.arange(len(counts)), counts)[starts]
-    low = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
+    rest = np.full(len(starts), -1, np.int64)
+    more = left[starts] > width
+    rest[more] = names[-1][starts[more] + width]
+    starts = starts[np.lexsort((rest, names[-1][starts]))]
+    common = np.zeros(max(len(starts) - 1, 0), np.int64)  # of neighbours
+    a, b = starts[:-1], starts[1:]
+    for k in range(len(names) - 1, -1, -1):
+        for _ in range(2 if k == len(names) - 1 else 1):
+            at = np.minimum(left[a], left[b]) - common >= 1 << k
+            same = at.copy()
+            same[at] = names[k][(a + common)[at]] == names[k][(b + common)[at]]
+            common[same] += 1 << k
+    node = np.cumsum(np.r_[0, common < WINDOW]) if len(starts) else np.zeros(0, np.int64)
+    depth = left[starts[np.flatnonzero(np.r_[True, node[1:] != node[:-1]])]] if len(starts) else node
+    inner = node[1:] == node[:-1]
+    np.minimum.at(depth, node[1:][inner], common[inner])
+    segment = np.repeat(np.arange(len(counts)), counts)
+    place = starts - (np.cumsum(counts) - counts)[segment[starts]]
+    return segment[starts], place, node, depth
+
+
+def deep_nodes(lists: list[list[bytes]], least: np.ndarray) -> list[np.ndarray]:
+    """For each window of each segment, the smallest doc_id of the node of depth 50 or more under which its suffix stands."""
+    segment, place, node, depth = suffix_nodes(lists)
+    low = np.full(len(depth), np.iinfo(np.int64).max)
     np.minimum.at(low, node, least[segment])
-    return np.split(low[node], np.cumsum(np.bincount(segment, minlength=len(counts)))[:-1])
+    order = np.lexsort((place, segment))
+    return np.split(low[node[order]], np.cumsum(np.bincount(segment, minlength=len(lists)))[:-1])
 
 
 def subtrees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +163,7 @@ def subtrees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def done(rows: pd.DataFrame) -> pd.DataFrame:
         lows = deep_nodes([w.split(b" ") for w in rows["words"]], rows["least"].to_numpy())
-        return pd.DataFrame({"seg": rows["seg"].to_numpy(), "lows": [x.tolist() for x in lows]})
+        return pd.DataFrame({"seg": rows["seg"].to_numpy(), "at": 0, "lows": [x.tolist() for x in lows]})
 
     for frame in frames:
         frame = frame.assign(size=frame["words"].map(lambda w: w.count(b" ") + 1))
@@ -144,12 +184,39 @@ def subtrees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done(pd.concat(held))
 
 
-def labelled_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for seg, words, least in zip(frame["seg"], frame["words"], frame["least"], strict=True):
-            w = words.split(b" ")
-            marks = [hashlib.blake2b(b" ".join(w[i : i + WINDOW]), digest_size=16).digest() for i in range(len(w) - WINDOW + 1)]
-            yield pd.DataFrame({"seg": seg, "place": np.arange(len(marks), dtype=np.int32), "node": marks, "least": least})
+def longer(prefix: int):
+    """A function that cuts segments (seg, key, words) into pieces whose windows share a longer prefix."""
+
+    def pieces(words: list[bytes], gram: int) -> Iterator[tuple[int, int, list[bytes]]]:
+        """(first window, end of the windows, label)."""
+        n = len(words) - WINDOW + 1
+        if prefix == WINDOW:
+            yield from ((i, i + 1, words[i : i + WINDOW]) for i in range(n))
+            return
+        from xxhash import xxh64_intdigest
+
+        codes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+        spots = np.flatnonzero(gram_hashes(codes)[: len(words) - GRAM + 1].view(np.int64) == gram)
+        anchor = spots[np.searchsorted(spots, np.arange(n))]  # the first in each window
+        forward = np.arange(n) + WINDOW - anchor >= PREFIXES[-2]
+        edges = [0, *(np.flatnonzero((anchor[1:] != anchor[:-1]) | (forward[1:] != forward[:-1])) + 1).tolist(), n]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            at = int(anchor[lo])
+            yield lo, hi, words[at : at + prefix] if forward[lo] else [b"", *words[at + GRAM - prefix : at + GRAM]]
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh64_intdigest
+
+        for f in frames:
+            out = []
+            for seg, gram, line, least, most in zip(f["seg"], f["gram"], f["words"], f["least"], f["most"], strict=True):
+                words = line.split(b" ")
+                for lo, hi, label in pieces(words, gram):
+                    key = xxh64_intdigest(b" ".join(label), prefix)
+                    out.append((seg, lo, gram, key - (1 << 64 if key >> 63 else 0), b" ".join(words[lo : hi - 1 + WINDOW]), least, most))
+            yield pd.DataFrame(out, columns=["parent", "place", "gram", "key", "words", "least", "most"])
+
+    return work
 
 
 def cut_segments(rows: DataFrame) -> DataFrame:
@@ -172,46 +239,83 @@ def cut_texts(rows: DataFrame) -> DataFrame:
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            removed, kept = [], []
-            for text, spans in zip(f["text"], f["spans"], strict=True):
+            out = []
+            for d, sha, text, spans in zip(f["doc_id"], f["sha"], f["text"], f["spans"], strict=True):
                 words = (text or "").encode("utf-8").split()
+                if hashlib.sha256(b" ".join(words)).hexdigest() != sha:  # another text under this doc_id
+                    continue
                 edge = np.zeros(len(words) + 1, np.int64)
                 for s in spans:
                     np.add.at(edge, np.asarray(s["places"], np.int64) + s["start"], 1)
                     np.add.at(edge, np.asarray(s["places"], np.int64) + s["start"] + WINDOW, -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                removed.append(int(gone.sum()))
-                kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode("utf-8"))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "sha": f["sha"], "n_removed": removed, "kept": kept})
+                out.append((d, sha, int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode("utf-8")))
+            yield pd.DataFrame(out, columns=["doc_id", "sha", "n_removed", "kept"])
 
     return rows.mapInPandas(work, "doc_id long, sha string, n_removed long, kept string")
 
 
+def concerned(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """texts joined to rows by doc_id. Few ids are broadcast first, so that the other texts stay where they are; for more, Spark's own runtime filters stand in."""
+    ids = rows.select("doc_id").distinct()
+    if ids.count() <= IDS_MOST:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    return texts.join(rows, "doc_id")
+
+
+def lows(segments: DataFrame) -> DataFrame:
+    """(seg, at, lows): for the windows of a segment from place `at` on, the smallest doc_id that has each. Windows of one document may be missing.
+
+    segments: key, seg, words, doc_id, several rows for a segment that several documents have.
+    """
+    now = segments.groupBy("key", "seg").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("words").alias("words")).withColumn("gram", F.col("key"))
+    found, links = [], []
+    for prefix in (*PREFIXES, None):
+        size = F.size(F.split(F.col("words").cast("string"), " "))
+        full = None
+        if prefix:
+            full = stored(now.groupBy("key").agg(F.sum(size).alias("size"), F.count("*").alias("n")).where((F.col("size") > GROUP_WORDS) & (F.col("n") > 1)).select("key"))
+            if full.isEmpty():
+                prefix = None
+        fit = now if prefix is None else now.join(full, "key", "left_anti")
+        leaf = bool(links) and links[-1][1] == WINDOW
+        if leaf:
+            found.append(now.select("seg", F.lit(0).cast("long").alias("at"), F.array("least").alias("lows")))
+        else:
+            found.append(fit.select("key", "seg", "least", "words").repartition("key").sortWithinPartitions("key").mapInPandas(subtrees, "seg long, at long, lows array<long>"))
+        if prefix is None:
+            break
+        cut = now.join(full, "key", "left_semi").select("seg", "gram", "words", "least", "most")
+        made = cut.mapInPandas(longer(prefix), "parent long, place long, gram long, key long, words binary, least long, most long")
+        made = stored(made.withColumn("seg", F.xxhash64("key", F.sha2("words", 256))))
+        links.append((made.select("parent", "place", "seg"), prefix))
+        shared = made.groupBy("key").agg(F.min("least").alias("a"), F.max("most").alias("b")).where("a < b").select("key")
+        now = made.join(shared, "key", "left_semi").groupBy("key", "seg").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("words").alias("words"), F.first("gram").alias("gram"))
+    out = found.pop()
+    while found:
+        link, _ = links.pop()
+        out = found.pop().unionByName(link.join(out, "seg").select(F.col("parent").alias("seg"), (F.col("place") + F.col("at")).alias("at"), "lows"))
+    return out
+
+
 def removals(docs: DataFrame, column: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(all, changed). all: doc_id, n_words, sha of all words, n_removed for every row of docs. changed: doc_id, sha,
     n_removed and kept, the text that is left, for documents that lose some words but are no copies."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(column).alias("text"))
-    seen = stored(scan(texts).drop("text"))
+    seen = stored(scan(texts))
     first = seen.groupBy("sha").agg(F.min("doc_id").alias("least"))
-    classed = seen.join(first, "sha")
-    own = classed.where(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("least")) & (F.col("n_words") >= WINDOW)).dropDuplicates(["doc_id", "sha"])
+    classed = seen.select("doc_id", "n_words", "sha").join(first, "sha")
+    own = seen.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW)).join(first.select(F.col("sha"), F.col("least").alias("doc_id")), ["sha", "doc_id"], "left_semi").dropDuplicates(["doc_id", "sha"])
     runs = own.select("doc_id", "sha", F.inline(F.arrays_zip("keys", "starts", "ends"))).withColumnsRenamed({"keys": "key", "starts": "start", "ends": "end"})
     shared = runs.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
     by_doc = stored(runs.join(shared, "key", "left_semi").groupBy("doc_id", "sha").agg(F.collect_list(F.struct("key", "start", "end")).alias("runs")))
-    held = texts.where(F.col("text").isNotNull()).join(by_doc, "doc_id")
+    held = concerned(texts.where(F.col("text").isNotNull()), by_doc)
     segments = stored(cut_segments(held).distinct().withColumn("seg", F.xxhash64("key", F.sha2("words", 256))))
-    contents = segments.groupBy("key", "seg").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"))
-    crowded = stored(segments.groupBy("key").agg(F.approx_count_distinct("seg", 0.02).alias("n")).where(F.col("n") > GROUP_MOST).select("key"))
-    in_groups = contents.join(crowded, "key", "left_anti").select("key", "seg", "least", "words")
-    treed = in_groups.repartition("key").sortWithinPartitions("key").mapInPandas(subtrees, "seg long, lows array<long>")
-    windows = stored(contents.join(crowded, "key", "left_semi").select("seg", "least", "words").mapInPandas(labelled_windows, "seg long, place int, node binary, least long"))
-    lows = windows.groupBy("node").agg(F.min("least").alias("low"))
-    wide = windows.join(lows, "node").groupBy("seg").agg(F.sort_array(F.collect_list(F.struct("place", "low"))).alias("p")).select("seg", F.col("p.low").alias("lows"))
-    found = segments.select("doc_id", "sha", "start", "seg").join(treed.unionByName(wide), "seg")
-    covered = found.select("doc_id", "sha", "start", F.expr("filter(transform(lows, (x, i) -> CASE WHEN x < doc_id THEN i END), x -> x IS NOT NULL)").alias("places")).where(F.size("places") > 0)
+    found = segments.select("doc_id", "sha", "start", "seg").join(lows(segments), "seg")
+    covered = found.select("doc_id", "sha", (F.col("start") + F.col("at")).alias("start"), F.expr("filter(transform(lows, (x, i) -> CASE WHEN x < doc_id THEN i END), x -> x IS NOT NULL)").alias("places")).where(F.size("places") > 0)
     spans = stored(covered.groupBy("doc_id", "sha").agg(F.collect_list(F.struct("start", "places")).alias("spans")))
-    matched = texts.join(spans, "doc_id").where(F.sha2(F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), " "), 256) == F.col("sha"))
-    changed = stored(cut_texts(matched).dropDuplicates(["doc_id", "sha"]))
+    changed = stored(cut_texts(concerned(texts, spans)).dropDuplicates(["doc_id", "sha"]))
     lost = changed.select(F.col("doc_id").alias("d"), F.col("sha").alias("s"), F.col("n_removed").alias("some"))
     copy = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)) & (F.col("n_words") >= WINDOW)
     every = classed.join(lost, (F.col("doc_id") == F.col("d")) & (F.col("sha") == F.col("s")), "left")
