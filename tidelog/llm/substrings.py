@@ -33,16 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stored, with_text_columns
+from .common import small_batches, spread_join, stored, with_text_columns
 from .textstats import coded, ranks
 
 WINDOW, GRAM = 50, 8
 #: Words that a group may bring to a subtree, and words that a task sorts at a time.
-GROUP_WORDS, STEP = 60_000, 400_000
+GROUP_WORDS, STEP = 200_000, 400_000
 #: Lengths of the longer prefixes of crowded groups; the last but one is the half that any window has on one side of its anchor.
 PREFIXES = (16, 25, WINDOW)
 #: Ids that are broadcast at most, to read only the texts that are concerned.
-IDS_MOST = 2_000_000
+IDS_MOST = 1_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -213,14 +213,14 @@ def longer(prefix: int):
                 words = line.split(b" ")
                 for lo, hi, label in pieces(words, gram):
                     key = xxh64_intdigest(b" ".join(label), prefix)
-                    out.append((seg, lo, gram, key - (1 << 64 if key >> 63 else 0), b" ".join(words[lo : hi - 1 + WINDOW]), least, most))
-            yield pd.DataFrame(out, columns=["parent", "place", "gram", "key", "words", "least", "most"])
+                    out.append((seg, lo, gram, key - (1 << 64 if key >> 63 else 0), b" ".join(words[lo : hi - 1 + WINDOW]), hi - lo + WINDOW - 1, least, most))
+            yield pd.DataFrame(out, columns=["parent", "place", "gram", "key", "words", "size", "least", "most"])
 
     return work
 
 
 def cut_segments(rows: DataFrame) -> DataFrame:
-    """(doc_id, sha, key, start, words): the words of each run of windows."""
+    """(doc_id, sha, key, start, words, size): the words of each run of windows, and their number."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -228,10 +228,10 @@ def cut_segments(rows: DataFrame) -> DataFrame:
             for d, sha, text, runs in zip(f["doc_id"], f["sha"], f["text"], f["runs"], strict=True):
                 words = text.encode("utf-8").split()
                 if hashlib.sha256(b" ".join(words)).hexdigest() == sha:  # else another text under this doc_id
-                    out += [(d, sha, int(r["key"]), int(r["start"]), b" ".join(words[r["start"] : r["end"] + WINDOW - 1])) for r in runs]
-            yield pd.DataFrame(out, columns=["doc_id", "sha", "key", "start", "words"])
+                    out += [(d, sha, int(r["key"]), int(r["start"]), b" ".join(words[r["start"] : r["end"] + WINDOW - 1]), int(r["end"] - r["start"]) + WINDOW - 1) for r in runs]
+            yield pd.DataFrame(out, columns=["doc_id", "sha", "key", "start", "words", "size"])
 
-    return rows.mapInPandas(work, "doc_id long, sha string, key long, start long, words binary")
+    return rows.mapInPandas(work, "doc_id long, sha string, key long, start long, words binary, size long")
 
 
 def cut_texts(rows: DataFrame) -> DataFrame:
@@ -264,17 +264,17 @@ def concerned(texts: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def lows(segments: DataFrame) -> DataFrame:
-    """(seg, at, lows): for the windows of a segment from place `at` on, the smallest doc_id that has each. Windows of one document may be missing.
+    """(seg, parts): of the windows of each segment the smallest doc_id that has them, in parts (at, lows): from place `at` on. Windows of one document may be missing.
 
-    segments: key, seg, words, doc_id, several rows for a segment that several documents have.
+    segments: key, seg, words, size, doc_id, several rows for a segment that several documents have.
     """
-    now = segments.groupBy("key", "seg").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("words").alias("words")).withColumn("gram", F.col("key"))
+    once = [F.first(c).alias(c) for c in ("words", "size")]
+    now = stored(segments.groupBy("key", "seg").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *once).withColumn("gram", F.col("key")))
     found, links = [], []
     for prefix in (*PREFIXES, None):
-        size = F.size(F.split(F.col("words").cast("string"), " "))
         full = None
         if prefix:
-            full = stored(now.groupBy("key").agg(F.sum(size).alias("size"), F.count("*").alias("n")).where((F.col("size") > GROUP_WORDS) & (F.col("n") > 1)).select("key"))
+            full = stored(now.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).where((F.col("size") > GROUP_WORDS) & (F.col("n") > 1)).select("key"))
             if full.isEmpty():
                 prefix = None
         fit = now if prefix is None else now.join(full, "key", "left_anti")
@@ -286,16 +286,20 @@ def lows(segments: DataFrame) -> DataFrame:
         if prefix is None:
             break
         cut = now.join(full, "key", "left_semi").select("seg", "gram", "words", "least", "most")
-        made = cut.mapInPandas(longer(prefix), "parent long, place long, gram long, key long, words binary, least long, most long")
+        made = cut.mapInPandas(longer(prefix), "parent long, place long, gram long, key long, words binary, size long, least long, most long")
         made = stored(made.withColumn("seg", F.xxhash64("key", F.sha2("words", 256))))
         links.append((made.select("parent", "place", "seg"), prefix))
-        shared = made.groupBy("key").agg(F.min("least").alias("a"), F.max("most").alias("b")).where("a < b").select("key")
-        now = made.join(shared, "key", "left_semi").groupBy("key", "seg").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("words").alias("words"), F.first("gram").alias("gram"))
-    out = found.pop()
+        # Equal pieces collapse where they are before any are brought together.
+        different = stored(made.groupBy("key", "seg").agg(F.min("least").alias("least"), F.max("most").alias("most"), *once, F.first("gram").alias("gram")))
+        shared = different.groupBy("key").agg(F.min("least").alias("a"), F.max("most").alias("b")).where("a < b").select("key")
+        now = stored(different.join(shared, "key", "left_semi"))
+    out, together = found.pop(), False
     while found:
         link, _ = links.pop()
         out = found.pop().unionByName(link.join(out, "seg").select(F.col("parent").alias("seg"), (F.col("place") + F.col("at")).alias("at"), "lows"))
-    return out
+        together = True
+    part = F.struct("at", "lows")
+    return out.groupBy("seg").agg(F.collect_list(part).alias("parts")) if together else out.select("seg", F.array(part).alias("parts"))
 
 
 def removals(docs: DataFrame, column: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -304,8 +308,8 @@ def removals(docs: DataFrame, column: str = "text", key: str = "doc_id") -> tupl
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(column).alias("text"))
     seen = stored(scan(texts))
-    first = seen.groupBy("sha").agg(F.min("doc_id").alias("least"))
-    classed = seen.select("doc_id", "n_words", "sha").join(first, "sha")
+    first = stored(seen.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
+    classed = spread_join(seen.select("doc_id", "n_words", "sha"), first, "sha", "rows")
     own = seen.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW)).join(first.select(F.col("sha"), F.col("least").alias("doc_id")), ["sha", "doc_id"], "left_semi").dropDuplicates(["doc_id", "sha"])
     runs = own.select("doc_id", "sha", F.inline(F.arrays_zip("keys", "starts", "ends"))).withColumnsRenamed({"keys": "key", "starts": "start", "ends": "end"})
     shared = runs.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
@@ -313,7 +317,8 @@ def removals(docs: DataFrame, column: str = "text", key: str = "doc_id") -> tupl
     held = concerned(texts.where(F.col("text").isNotNull()), by_doc)
     segments = stored(cut_segments(held).distinct().withColumn("seg", F.xxhash64("key", F.sha2("words", 256))))
     found = segments.select("doc_id", "sha", "start", "seg").join(lows(segments), "seg")
-    covered = found.select("doc_id", "sha", (F.col("start") + F.col("at")).alias("start"), F.expr("filter(transform(lows, (x, i) -> CASE WHEN x < doc_id THEN i END), x -> x IS NOT NULL)").alias("places")).where(F.size("places") > 0)
+    earlier = F.expr("flatten(transform(parts, p -> filter(transform(p.lows, (x, i) -> CASE WHEN x < doc_id THEN p.at + i END), x -> x IS NOT NULL)))")
+    covered = found.select("doc_id", "sha", "start", earlier.alias("places")).where(F.size("places") > 0)
     spans = stored(covered.groupBy("doc_id", "sha").agg(F.collect_list(F.struct("start", "places")).alias("spans")))
     changed = stored(cut_texts(concerned(texts, spans)).dropDuplicates(["doc_id", "sha"]))
     lost = changed.select(F.col("doc_id").alias("d"), F.col("sha").alias("s"), F.col("n_removed").alias("some"))
