@@ -39,11 +39,15 @@ def checksum(key: Column, value: Column) -> Column:
     return F.crc32(F.encode(F.concat(key, F.coalesce(value, F.lit(""))), "UTF-8"))
 
 
+#: What fault() may say.
+FAULTS = ("empty key", "key too large", "value too large", "ttl out of range")
+
+
 def fault(key: Column, value: Column, ttl_s: Column) -> Column:
     """What forbids a write, or null. The same limits hold in every mode."""
     return (
-        F.when(key.isNull() | (key == ""), F.lit("empty key"))
-        .when(F.octet_length(key) > MAX_KEY, F.lit("key too large"))
-        .when(F.octet_length(value) > MAX_VALUE, F.lit("value too large"))
-        .when((ttl_s < 0) | (ttl_s > MAX_TTL), F.lit("ttl out of range"))
+        F.when(key.isNull() | (key == ""), F.lit(FAULTS[0]))
+        .when(F.octet_length(key) > MAX_KEY, F.lit(FAULTS[1]))
+        .when(F.octet_length(value) > MAX_VALUE, F.lit(FAULTS[2]))
+        .when((ttl_s < 0) | (ttl_s > MAX_TTL), F.lit(FAULTS[3]))
     )

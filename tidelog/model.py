@@ -30,11 +30,15 @@ class Settings:
     level_factor: int = 10
     levels: int = 4
     codec: str = "zstd"
-    segment_rows: int = 1_000_000
+    segment_bytes: int = 64 << 20
     file_rows: int = 4_000_000
+    compact_ms: int = 6 * 3600 * 1000
 
     def __post_init__(self):
         if self.mode not in ("sorted", "hash") or self.strategy not in ("size_tiered", "leveled"):
             raise ValueError(f"unknown mode or strategy: {self.mode}, {self.strategy}")
-        if not 0 <= self.dead_ratio <= 1 or self.tier_low > self.tier_high or self.levels < 1:
+        if self.codec not in ("none", "uncompressed", "snappy", "gzip", "lz4", "lz4_raw", "zstd"):
+            raise ValueError(f"unknown codec: {self.codec}")
+        least = {"max_segments": 1, "tier_files": 2, "level0_files": 1, "level1_bytes": 1, "level_factor": 2, "levels": 1, "segment_bytes": 1, "file_rows": 1, "compact_ms": 0}
+        if not 0 <= self.dead_ratio <= 1 or not 0 < self.tier_low <= self.tier_high or any(getattr(self, n) < x for n, x in least.items()):
             raise ValueError("settings out of range")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import record_size, unexpired
@@ -45,9 +45,15 @@ def collectable_by_level(log: DataFrame) -> DataFrame:
     return found.where((F.col("level") == F.col("top")) & F.col("tombstone")).select("level", "key")
 
 
+def size_of(log: DataFrame) -> Column:
+    """Bytes of a record; a value of type double counts as eight."""
+    value = F.when(F.col("value").isNotNull(), F.lit("12345678")) if dict(log.dtypes)["value"] == "double" else F.col("value")
+    return record_size(F.col("key"), value, F.col("expiry_ms"))
+
+
 def zone_map(log: DataFrame) -> DataFrame:
     """A row for each segment_id: key range, records, tombstones and bytes."""
-    size = record_size(F.col("key"), F.when(F.col("value").isNotNull(), F.lit("12345678")), F.col("expiry_ms")) if dict(log.dtypes)["value"] == "double" else record_size(F.col("key"), F.col("value"), F.col("expiry_ms"))
+    size = size_of(log)
     return log.groupBy("segment_id").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count("*").alias("n_records"), F.count_if("tombstone").alias("n_tombstones"), F.sum(size).alias("bytes"))
 
 
@@ -56,10 +62,23 @@ def meeting(segments: DataFrame, start: str, end: str) -> DataFrame:
     return segments.where((F.col("min_key") <= end) & (F.col("max_key") >= start))
 
 
-def overlaps(source: DataFrame, target: DataFrame) -> DataFrame:
-    """(source_id, target_id) of segments with overlapping key ranges. Manifests have a row per segment, not per record."""
-    a, b = source.alias("a"), target.alias("b")
-    return a.join(b, (F.col("a.min_key") <= F.col("b.max_key")) & (F.col("a.max_key") >= F.col("b.min_key"))).select(F.col("a.segment_id").alias("source_id"), F.col("b.segment_id").alias("target_id"))
+def overlaps(source: DataFrame, target: DataFrame, buckets: int = 64) -> DataFrame:
+    """(source_id, target_id) of segments with overlapping key ranges.
+
+    Keys are cut into buckets at segments' first keys, picked by hash; a segment joins the buckets that it meets, and a
+    pair is found in the first bucket that both have. So segments meet by an equal key, not each with each.
+    """
+    firsts = source.select("min_key").unionByName(target.select("min_key")).distinct().orderBy(F.xxhash64("min_key"), "min_key").limit(buckets - 1)
+    edges = sorted(r[0] for r in firsts.collect())
+    place = lambda key: F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= key)) if edges else F.lit(0)
+
+    def dealt(segments: DataFrame, name: str) -> DataFrame:
+        low, high = place(F.col("min_key")), place(F.col("max_key"))
+        return segments.select(F.col("segment_id").alias(f"{name}_id"), F.col("min_key").alias(f"{name}_min"), F.col("max_key").alias(f"{name}_max"), low.alias(f"{name}_low"), F.explode(F.sequence(low, high)).alias("bucket"))
+
+    met = dealt(source, "source").join(dealt(target, "target"), "bucket")
+    both = (F.col("source_min") <= F.col("target_max")) & (F.col("source_max") >= F.col("target_min"))
+    return met.where(both & (F.col("bucket") == F.greatest("source_low", "target_low"))).select("source_id", "target_id")
 
 
 def level_triggers(segments: DataFrame, settings: Settings) -> DataFrame:
@@ -69,6 +88,11 @@ def level_triggers(segments: DataFrame, settings: Settings) -> DataFrame:
     return segments.groupBy("level").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).withColumn("due", due)
 
 
+def level_due(level: int, n: int, size: int, settings: Settings) -> bool:
+    """level_triggers() for one level of a manifest that the driver holds."""
+    return n >= settings.level0_files if level == 0 else size >= settings.level1_bytes * settings.level_factor ** (level - 1)
+
+
 def tiers(sizes: Sequence[tuple[int, int]], settings: Settings) -> list[list[int]]:
     """Buckets of (segment_id, bytes), in the given order: the bucket whose mean is nearest within the limits, else a new one."""
     buckets: list[list[tuple[int, int]]] = []
@@ -94,9 +118,22 @@ def summary(segments: DataFrame) -> DataFrame:
     return segments.agg(F.count("*").alias("segments"), F.sum("n_records").alias("n_records"), F.sum("n_tombstones").alias("n_tombstones"), F.sum("bytes").alias("bytes"), F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"))
 
 
-def dead_ratio(log_with_dead: DataFrame) -> DataFrame:
-    size = record_size(F.col("key"), F.when(F.col("value").isNotNull(), F.lit("12345678")), F.col("expiry_ms")) if dict(log_with_dead.dtypes)["value"] == "double" else record_size(F.col("key"), F.col("value"), F.col("expiry_ms"))
-    return log_with_dead.agg(F.sum(size).alias("total_bytes"), F.sum(F.when(F.col("dead"), size).otherwise(0)).alias("dead_bytes")).withColumn("ratio", F.round(F.col("dead_bytes") / F.col("total_bytes"), 6))
+def dead_ratio(log: DataFrame) -> DataFrame:
+    """total_bytes, dead_bytes and their ratio: all but the newest record of a key are dead, and that too if it is a tombstone.
+
+    One aggregation by key, combined before the shuffle: dead bytes are all bytes less those of the newest records that live.
+    """
+    by_key = log.groupBy("key").agg(F.sum(size_of(log)).alias("size"), F.max_by(F.struct("tombstone", size_of(log).alias("size")), "seq").alias("last"))
+    alive = F.when(~F.col("last.tombstone"), F.col("last.size")).otherwise(0)
+    return by_key.agg(F.sum("size").alias("total_bytes"), F.sum(F.col("size") - alive).alias("dead_bytes")).withColumn("ratio", F.round(F.col("dead_bytes") / F.col("total_bytes"), 6))
+
+
+def merge_by_window(log: DataFrame, width_ms: int, as_of_ms: int) -> DataFrame:
+    """Each window of time merged by itself: window and, of each key in it, the newest mutation. Older versions may lie in other windows, so deletions stay."""
+    windowed = log.withColumn("window", F.expr(f"ts_ms div {int(width_ms)}"))
+    last = windowed.groupBy("window", "key").agg(F.max_by(F.struct("seq", "ts_ms", "value", "tombstone", "expiry_ms"), "seq").alias("last")).select("window", "key", "last.*")
+    gone = F.col("tombstone") | ~unexpired(F.col("expiry_ms"), as_of_ms)
+    return last.withColumns({"value": F.when(~gone, F.col("value")), "expiry_ms": F.when(~gone, F.col("expiry_ms")), "tombstone": gone})
 
 
 def due(dead_bytes: int, total_bytes: int, segments: int, settings: Settings) -> bool:
