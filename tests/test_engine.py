@@ -132,3 +132,50 @@ def test_tiers_against_a_plain_fold(spark):
     table = compaction.tier_table(spark.createDataFrame(sizes, "segment_id long, bytes long"), Settings())
     got = {r.segment_id: (r.bucket, r.due) for r in table.collect()}
     assert got == {0: (0, True), 1: (0, True), 2: (1, False), 3: (0, True), 4: (1, False), 5: (2, False), 6: (0, True), 7: (3, False)}
+
+
+def test_ranks_against_sorted_values(spark):
+    from tidelog.operators import measures
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randint(0, 40))])) for _ in range(700)] + [("one", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    groups = {}
+    for g, v in rows:
+        if v is not None:
+            groups.setdefault(g, []).append(v)
+    for buckets in (1, 4, 256):
+        got = {r.g: (r.n, r.p) for r in measures.at_ranks(df, "v", {"p": "least(n * 90 div 100, n - 1)"}, "g", buckets=buckets).collect()}
+        assert got == {g: (len(v), sorted(v)[min(len(v) * 90 // 100, len(v) - 1)]) for g, v in groups.items()}
+    assert measures.quantiles(df.limit(0), "v", {"m": 0.5}, "g").count() == 0
+
+
+def test_shards_take_their_share_and_move_no_others(spark):
+    from pyspark.sql import functions as F
+
+    from tidelog.operators import shards
+
+    keys = spark.range(4000).select(F.format_string("k%05d", "id").alias("key"))
+    counts = [r["count"] for r in keys.groupBy(shards.by_hash(F.col("key"), 8)).count().collect()]
+    assert len(counts) == 8 and min(counts) > 400
+    moved = shards.moved(keys, 8, 9).collect()
+    assert {r.after for r in moved} == {8} and 300 < len(moved) < 600
+    assert [r[0] for r in spark.createDataFrame([("a",), ("m",), ("z",)], "k string").select(shards.by_range(F.col("k"), ["x", "m"])).collect()] == [0, 1, 2]
+
+
+def test_interval_join_equals_all_pairs(spark):
+    rng = random.Random(2)
+    made = [(i, *sorted((f"k{rng.randint(0, 99):02d}", f"k{rng.randint(0, 99):02d}"))) for i in range(60)]
+    df = spark.createDataFrame(made, "segment_id long, min_key string, max_key string")
+    want = sorted((a[0], b[0]) for a in made[:30] for b in made[30:] if a[1] <= b[2] and a[2] >= b[1])
+    for buckets in (1, 5, 64):
+        got = compaction.overlaps(df.where("segment_id < 30"), df.where("segment_id >= 30"), buckets)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_items_of_a_command_apply_in_order(spark):
+    lines = spark.createDataFrame([(1, "MSET a 1 b 2 a 3"), (2, "MWRITETTL 5 b 9 c 8 b 7"), (3, "mset c 1")], "seq long, line string")
+    parsed = commands.parse(lines)
+    each = parsed.selectExpr("seq", "seq * 1000 AS ts_ms", "'MSET' AS op", "transform(split(items, ','), x -> struct(split(x, '=')[0] AS key, split(x, '=')[1] AS value, coalesce(ttl_s, 0L) AS ttl_s)) AS items")
+    log = replay.applied(replay.exploded(each), "pos")
+    assert view(fold.live(log, 3000)) == [("a", "3"), ("b", "7"), ("c", "1")] and view(fold.live(log, 7000)) == [("a", "3"), ("c", "1")]

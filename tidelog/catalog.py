@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from .functions.records import checksum, memory_size, record_size, unexpired
 from .model import Settings
 from .operators import commands as language
-from .operators import fold, measures, reads, replay
+from .operators import fold, measures, reads, replay, shards
 from .plans import compaction
+from .plans.store import Store, scratch
 from .sources import tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,11 +96,6 @@ def _(spark, d):
     return reads.span(t.mutations(spark, d), "z", "a", 0).select("key", "value")
 
 
-@query("kv_live_as_of_seq", f"SELECT key, value FROM {live_sql(TOMB, 'seq <= 500')}")
-def _(spark, d):
-    return fold.live(t.mutations(spark, d), 0, as_of_seq=500).select("key", "value")
-
-
 @query("kv_live_as_of_half", f"SELECT key, value FROM {live_sql(TOMB, 'seq <= (SELECT max(event_id) // 2 FROM events)')}")
 def _(spark, d):
     log = t.mutations(spark, d)
@@ -156,14 +152,15 @@ SMALL = f"SELECT seq // 10 AS segment_id, min(key) AS min_key, max(key) AS max_k
 
 @query("kv_dead_bytes_ratio", f"SELECT total AS total_bytes, dead AS dead_bytes, round(dead / total, 6) AS ratio FROM (SELECT sum(n)::BIGINT AS total, sum(CASE WHEN tombstone OR seq < last THEN n ELSE 0 END)::BIGINT AS dead FROM (SELECT *, {SIZE} AS n, max(seq) OVER (PARTITION BY key) AS last FROM ({TTL})))")
 def _(spark, d):
-    return compaction.dead_ratio(fold.with_dead(t.mutations(spark, d, ttl=True)))
+    return compaction.dead_ratio(t.mutations(spark, d, ttl=True))
 
 
 @query("kv_auto_compact", f"SELECT dead * 1.0 / total > 0.5 OR n > 10 AS due FROM (SELECT sum(n)::BIGINT AS total, sum(CASE WHEN tombstone OR seq < last THEN n ELSE 0 END)::BIGINT AS dead, count(DISTINCT seq // 1000) AS n FROM (SELECT *, {SIZE} AS n, max(seq) OVER (PARTITION BY key) AS last FROM ({TTL})))")
 def _(spark, d):
     log, s = segments(t.mutations(spark, d, ttl=True)), Settings()
-    n = log.agg(F.countDistinct("segment_id").alias("n"))
-    return compaction.dead_ratio(fold.with_dead(log)).crossJoin(n).select(((F.col("dead_bytes") / F.col("total_bytes") > s.dead_ratio) | (F.col("n") > s.max_segments)).alias("due"))
+    dead, total = compaction.dead_ratio(log).select("dead_bytes", "total_bytes").first()
+    n = log.agg(F.countDistinct("segment_id")).first()[0]
+    return spark.range(1).select(F.lit(compaction.due(dead or 0, total or 0, n, s)).alias("due"))
 
 
 @query("kv_segment_zone_map", ZONES)
@@ -176,12 +173,6 @@ def _(spark, d):
     return compaction.meeting(compaction.zone_map(segments(t.mutations(spark, d, ttl=True), 10)), "user:00000001", "user:00000001:zz").select("segment_id")
 
 
-@query("kv_level_overlap_join", f"WITH z AS ({SMALL}) SELECT a.segment_id AS source_id, b.segment_id AS target_id FROM z a JOIN z b ON a.min_key <= b.max_key AND a.max_key >= b.min_key WHERE a.segment_id % 3 = 0 AND b.segment_id % 3 = 1")
-def _(spark, d):
-    z = compaction.zone_map(segments(t.mutations(spark, d, ttl=True), 10))
-    return compaction.overlaps(z.where("segment_id % 3 = 0"), z.where("segment_id % 3 = 1"))
-
-
 @query("kv_level_overlap_adjacent", f"WITH z AS ({SMALL}) SELECT a.segment_id AS source_id, b.segment_id AS target_id FROM z a JOIN z b ON a.min_key <= b.max_key AND a.max_key >= b.min_key WHERE b.segment_id % 3 = a.segment_id % 3 + 1")
 def _(spark, d):
     z = compaction.zone_map(segments(t.mutations(spark, d, ttl=True), 10))
@@ -200,13 +191,6 @@ def _(spark, d):
     return compaction.merge(t.mutations(spark, d, ttl=True), now(spark, d), True).select("seq", "key", "value", "expiry_ms")
 
 
-@query("kv_compact_partial_tombstones", f"""SELECT seq, key, CASE WHEN NOT gone THEN value END AS value, gone AS tombstone, CASE WHEN NOT gone THEN expiry_ms END AS expiry_ms
-    FROM (SELECT *, tombstone OR coalesce(expiry_ms <= (SELECT max({MS}) FROM events), false) AS gone FROM (SELECT * FROM ({TTL}) WHERE (seq // 100) % 4 = 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1))""")
-def _(spark, d):
-    part = segments(t.mutations(spark, d, ttl=True), 100).where("segment_id % 4 = 1")
-    return compaction.merge(part, now(spark, d), False).select("seq", "key", "value", "tombstone", "expiry_ms")
-
-
 @query("kv_compact_partial_each", f"""SELECT part, seq, key, CASE WHEN NOT gone THEN value END AS value, gone AS tombstone, CASE WHEN NOT gone THEN expiry_ms END AS expiry_ms
     FROM (SELECT *, tombstone OR coalesce(expiry_ms <= (SELECT max({MS}) FROM events), false) AS gone FROM (SELECT *, (seq // 100) % 4 AS part FROM ({TTL}) QUALIFY row_number() OVER (PARTITION BY (seq // 100) % 4, key ORDER BY seq DESC) = 1))""")
 def _(spark, d):
@@ -215,11 +199,6 @@ def _(spark, d):
     return reduce(DataFrame.unionByName, parts).select("part", "seq", "key", "value", "tombstone", "expiry_ms")
 
 
-@query("kv_tombstone_gc", f"WITH l AS (SELECT *, seq // 100 AS segment_id FROM ({TOMB})) SELECT key FROM (SELECT * FROM l WHERE segment_id IN (0, 1) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE tombstone AND key NOT IN (SELECT key FROM l WHERE segment_id NOT IN (0, 1))")
-def _(spark, d):
-    return compaction.collectable(segments(t.mutations(spark, d), 100), [0, 1])
-
-
 def levels_sql(log: str, rows: int) -> str:
     """A log with segment_id and level, as compaction.leveled gives it with factor 10."""
     return f"(SELECT *, CASE WHEN (last - segment_id) * 10 > last THEN 2 WHEN (last - segment_id) * 100 > last THEN 1 ELSE 0 END AS level FROM (SELECT *, seq // {rows} AS segment_id, max(seq // {rows}) OVER () AS last FROM ({log})))"
@@ -302,18 +281,18 @@ def _(spark, d):
     return reads.remaining(t.mutations(spark, d, ttl=True), now(spark, d))
 
 
-LINES = """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'write k' || user_id || ' a  b ' || event_type WHEN 1 THEN 'READ k' || user_id WHEN 2 THEN 'Ttl k' || user_id || ' ' || (event_id % 5 * 10) WHEN 3 THEN 'WRITETTL k ' || (event_id % 3) || ' x y'
-    WHEN 4 THEN 'MSET a 1 b' || CASE WHEN event_id % 3 = 0 THEN ' 2' ELSE '' END WHEN 5 THEN 'RANGE a z' WHEN 6 THEN 'MGET a b a' ELSE 'NOPE' END AS line FROM events"""
+LINES = """SELECT event_id, CASE event_id % 16 WHEN 0 THEN 'write k' || user_id || ' a  b ' || event_type WHEN 1 THEN 'READ k' || user_id WHEN 2 THEN 'Ttl k' || user_id || ' ' || (event_id % 5 * 10) WHEN 3 THEN 'WRITETTL k ' || (event_id % 3) || ' x y'
+    WHEN 4 THEN 'MSET a 1 b' || CASE WHEN event_id % 3 = 0 THEN ' 2' ELSE '' END WHEN 5 THEN 'RANGE a z' WHEN 6 THEN 'MGET a b a' WHEN 7 THEN 'NOPE' WHEN 8 THEN 'DELETE k' || user_id WHEN 9 THEN 'exists k' || user_id WHEN 10 THEN 'Compact'
+    WHEN 11 THEN 'STATS' || CASE WHEN event_id % 3 = 0 THEN ' x' ELSE '' END WHEN 12 THEN 'LIST' WHEN 13 THEN ' ping ' WHEN 14 THEN 'QUIT' ELSE 'MWRITETTL ' || (event_id % 3) || ' a 1 b' || CASE WHEN event_id % 5 = 0 THEN '' ELSE ' 2' END END AS line FROM {e}"""
 
 
-@query("kv_cli_parse", f"""WITH l AS ({LINES}), p AS (SELECT *, event_id % 8 AS c, string_split(line, ' ') AS w FROM l), e AS (SELECT *, CASE WHEN c = 3 AND w[3] = '0' THEN 'bad seconds' WHEN c = 4 AND len(w) % 2 = 0 THEN 'odd number of operands' WHEN c = 7 THEN 'unknown command' END AS error FROM p)
-    SELECT event_id, CASE WHEN error IS NULL THEN upper(w[1]) END AS op, CASE WHEN error IS NULL AND c IN (0, 1, 2, 3) THEN w[2] END AS key,
-    CASE WHEN c = 0 THEN substr(line, strlen(w[2]) + 8) WHEN c = 3 AND error IS NULL THEN 'x y' END AS value, CASE WHEN error IS NULL AND c IN (2, 3) THEN w[3]::BIGINT END AS ttl_s,
-    CASE WHEN c = 5 THEN 'a' END AS start, CASE WHEN c = 5 THEN 'z' END AS "end", CASE WHEN c = 6 THEN 'a,b,a' WHEN c = 4 AND error IS NULL THEN 'a=1,b=2' END AS items, error FROM e""")
+@query("kv_cli_parse", f"""WITH l AS ({LINES.format(e="events")}), p AS (SELECT *, event_id % 16 AS c, string_split(trim(line), ' ') AS w FROM l),
+    e AS (SELECT *, CASE WHEN c = 7 THEN 'unknown command' WHEN c = 11 AND len(w) > 1 THEN 'wrong number of operands' WHEN c IN (4, 15) AND (len(w) - CASE c WHEN 4 THEN 1 ELSE 2 END) % 2 = 1 THEN 'odd number of operands' WHEN c IN (3, 15) AND event_id % 3 = 0 THEN 'bad seconds' END AS error FROM p)
+    SELECT event_id, CASE WHEN error IS NULL THEN upper(w[1]) END AS op, CASE WHEN error IS NULL AND c IN (0, 1, 2, 3, 8, 9) THEN w[2] END AS key,
+    CASE WHEN c = 0 THEN substr(line, strlen(w[2]) + 8) WHEN c = 3 AND error IS NULL THEN 'x y' END AS value, CASE WHEN error IS NULL AND c IN (2, 3) THEN w[3]::BIGINT WHEN error IS NULL AND c = 15 THEN w[2]::BIGINT END AS ttl_s,
+    CASE WHEN c = 5 THEN 'a' END AS start, CASE WHEN c = 5 THEN 'z' END AS "end", CASE WHEN c = 6 THEN 'a,b,a' WHEN c IN (4, 15) AND error IS NULL THEN 'a=1,b=2' END AS items, error FROM e""")
 def _(spark, d):
-    t.table(spark, d, "events").createOrReplaceTempView("tidelog_events")
-    lines = spark.sql(LINES.replace("FROM events", "FROM tidelog_events"))
-    return language.parse(lines).drop("line")
+    return language.parse(spark.sql(LINES, e=t.table(spark, d, "events"))).drop("line")
 
 
 @query("kv_conversation_last", "SELECT 'conv:' || lpad(conv_id::VARCHAR, 8, '0') AS key, arg_max(text, turn) AS value FROM conversations GROUP BY 1")
@@ -329,9 +308,13 @@ def _(spark, d):
     return sizes(t.turns(spark, d))
 
 
-@query("kv_crc")
+CRC_BITS = "flatten(list_transform(string_split(key || seq, ''), lambda c: [ord(c), 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))"
+
+
+@query("kv_crc", f"SELECT seq, key, xor(list_reduce([4294967295::BIGINT] || {CRC_BITS}, lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) AS crc FROM ({TOMB})")
 def _(spark, d):
-    return t.mutations(spark, d).select("seq", "key", checksum(F.col("key"), F.col("value").cast("string")).alias("crc"))
+    """The SQL folds bit by bit: each byte enters with its first bit."""
+    return t.mutations(spark, d).select("seq", "key", checksum(F.col("key"), F.col("seq").cast("string")).alias("crc"))
 
 
 @query("kv_ping", "SELECT 'OK' AS status, 'PONG' AS payload")
@@ -339,10 +322,10 @@ def _(spark, d):
     return spark.range(1).select(F.lit("OK").alias("status"), F.lit("PONG").alias("payload"))
 
 
-@query("kv_invalid_op", "SELECT event_id AS seq, CASE WHEN event_id % 20 BETWEEN 1 AND 12 THEN 'OK' ELSE 'ERROR' END AS status FROM events")
+@query("kv_invalid_op", "SELECT event_id AS seq, CASE WHEN event_id % 20 BETWEEN 1 AND 12 THEN 'OK' ELSE 'ERROR' END AS status, CASE WHEN event_id % 20 NOT BETWEEN 1 AND 12 THEN 'Invalid op code: ' || (event_id % 20) END AS payload FROM events")
 def _(spark, d):
-    code = F.col("event_id") % 20
-    return t.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.when(code.between(1, 12), "OK").otherwise("ERROR").alias("status"))
+    status, payload = replay.by_code(F.col("event_id") % 20)
+    return t.table(spark, d, "events").select(F.col("event_id").alias("seq"), status.alias("status"), payload.alias("payload"))
 
 
 @query("kv_collections_default_ttl", f"SELECT event_type AS collection, count(*) AS n FROM (SELECT event_type, user_id, {MS} + coalesce(CASE WHEN event_id % 3 = 0 THEN (1 + event_id % 72) * 3600000 END, 86400000) AS x FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) = 1) WHERE x > (SELECT max({MS}) FROM events) GROUP BY 1")
@@ -358,7 +341,7 @@ def _(spark, d):
 
 @query("kv_latency_quantiles", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1")
 def _(spark, d):
-    return t.table(spark, d, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"))
+    return measures.quantiles(t.table(spark, d, "events"), "value", {"p50": 0.5, "p95": 0.95}, "event_type")
 
 
 @query("kv_keep_ttl", f"""WITH l AS ({TTL}), n AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1), d AS (SELECT key, max(seq) FILTER (tombstone) AS cut FROM l GROUP BY 1),
@@ -396,9 +379,13 @@ def _(spark, d):
     return compaction.summary(compaction.zone_map(segments(t.mutations(spark, d, ttl=True))))
 
 
-@query("kv_size_tiers")
+@query("kv_size_tiers", f"""WITH RECURSIVE z AS (SELECT floor(log2(greatest(seq, 1) / 3 + 1))::BIGINT AS segment_id, sum({SIZE})::BIGINT AS bytes FROM ({TTL}) GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY segment_id) AS i FROM z),
+    f AS (SELECT 0::BIGINT AS i, []::STRUCT(s BIGINT, n BIGINT)[] AS b, 0::BIGINT AS k UNION ALL
+        SELECT i, CASE WHEN k IS NULL THEN list_append(b, {{'s': bytes, 'n': 1}}) ELSE list_transform(b, lambda e, j: CASE WHEN j = k THEN {{'s': e.s + bytes, 'n': e.n + 1}} ELSE e END) END, coalesce(k, len(b) + 1) FROM (
+            SELECT o.i, o.bytes, f.b, list_sort(list_filter(list_transform(f.b, lambda e, j: {{'d': abs(e.s / e.n - o.bytes), 'j': j, 'ok': 0.5 * (e.s / e.n) <= o.bytes AND o.bytes <= 1.5 * (e.s / e.n)}}), lambda c: c.ok))[1].j AS k FROM f JOIN o ON o.i = f.i + 1))
+    SELECT segment_id, bytes, (k - 1)::INT AS bucket, count(*) OVER (PARTITION BY k) >= 4 AS due FROM f JOIN o USING (i)""")
 def _(spark, d):
-    """I-12, I-13: segments that double in size, dealt into tiers. The fold depends on order, so tests hold it against a plain one."""
+    """I-12, I-13: segments that double in size, dealt into tiers."""
     log = t.mutations(spark, d, ttl=True).withColumn("segment_id", F.floor(F.log2(F.greatest("seq", F.lit(1)) / 3 + 1)))
     return compaction.tier_table(compaction.zone_map(log), Settings())
 
@@ -418,3 +405,110 @@ def _(spark, d):
 @query("kv_latency_histogram", "SELECT event_type, floor(value / 25) * 25.0::DOUBLE AS low, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, d):
     return measures.histogram(t.table(spark, d, "events"), "value", 25.0, "event_type")
+
+
+SETS = """SELECT event_id AS seq, pos, CASE WHEN pos = 2 THEN 'shared' ELSE 'user:' || lpad(user_id::VARCHAR, 8, '0') END AS key, value + pos AS value, CASE WHEN pos = 1 THEN event_id % 3 * 3600000 ELSE 0 END AS ttl_ms, epoch_us(ts) // 1000 AS ts_ms FROM events, (VALUES (0), (1), (2)) v(pos)"""
+
+
+@query("kv_mset_live", f"SELECT key, value, CASE WHEN ttl_ms > 0 THEN ts_ms + ttl_ms END AS expiry_ms FROM (SELECT * FROM ({SETS}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC, pos DESC) = 1) WHERE ttl_ms = 0 OR ts_ms + ttl_ms > (SELECT max({MS}) FROM events)")
+def _(spark, d):
+    """MSET and MWRITETTL folded: the last item for a key stands, in a command and over all of them."""
+    log, n = t.commands(spark, d).withColumn("value", F.lit(None)), F.col("seq")
+    e = t.table(spark, d, "events").select(F.col("event_id").alias("seq"), "value")
+    item = lambda key, plus, ttl: F.struct(key.alias("key"), (F.col("value") + plus).alias("value"), ttl.cast("long").alias("ttl_s"))
+    items = F.array(item(F.col("key"), 0, F.lit(0)), item(F.col("key"), 1, n % 3 * 3600), item(F.lit("shared"), 2, F.lit(0)))
+    sets = log.drop("value").join(e, "seq").select("seq", "ts_ms", F.lit("MSET").alias("op"), items.alias("items"))
+    return fold.live(replay.applied(replay.exploded(sets), "pos"), now(spark, d))
+
+
+def store_of(spark, d, settings: Settings, step, chunks: int = 4) -> Store:
+    """A store in the shared folder that takes the table's log in flushes by seq; step(store, instant) runs after each."""
+    log = t.mutations(spark, d, ttl=True).withColumn("value", F.col("seq").cast("string"))
+    last, as_of = log.agg(F.max("seq"), F.max("ts_ms")).first()
+    store = Store(spark, scratch(spark, "store"), settings, clock=lambda: as_of or 0)
+    for i in range(chunks):
+        part = F.expr(f"seq * {chunks} div {(last or 0) + 1}")
+        store.append(log.where(part == i), batch=i, stream="events")
+        step(store, as_of or 0)
+        store.append(log.where(part == i), batch=i, stream="events")  # known: it is not written again
+    return store
+
+
+STORED = TTL.replace(", value,", ", event_id::VARCHAR AS value,")
+
+
+@query("kv_store_live", f"SELECT key, value, expiry_ms FROM {live_sql(STORED)}")
+def _(spark, d):
+    """Flushes with a full compaction after every second, read back."""
+    store = store_of(spark, d, Settings(), lambda s, at: s.state()["batches"]["events"] % 2 == 1 and s.compact(at))
+    return store.live(now(spark, d))
+
+
+@query("kv_store_range", f"SELECT key, value FROM {live_sql(STORED, "key BETWEEN 'user:00000002' AND 'user:00000009:view'")}")
+def _(spark, d):
+    """A range out of leveled segments, of which the key ranges leave few to read."""
+    settings = Settings(strategy="leveled", level0_files=2, level1_bytes=100_000, segment_bytes=100_000, levels=3)
+    store = store_of(spark, d, settings, lambda s, at: s.settle(at))
+    return store.span("user:00000002", "user:00000009:view", now(spark, d)).select("key", "value")
+
+
+@query("kv_store_tiers_live", f"SELECT key, value, expiry_ms FROM {live_sql(STORED)}")
+def _(spark, d):
+    """Size tiers merged until none is due."""
+    return store_of(spark, d, Settings(tier_files=2), lambda s, at: s.settle(at)).live(now(spark, d))
+
+
+@query("kv_stats", f"""WITH {REPLAY}, s AS (SELECT count(*) FILTER (op = 'READ') AS reads, count(*) FILTER (op IN ('WRITE', 'WRITETTL')) AS writes, count(*) FILTER (op = 'DELETE') AS deletes, 0::BIGINT AS compacting, 2::BIGINT AS compaction_count,
+    (SELECT max({MS}) FROM events) AS last_compact_start_ms, (SELECT max({MS}) FROM events) AS last_compact_end_ms, 0::BIGINT AS write_blocked_attempts, 0::BIGINT AS write_blocked_total_ms, 0::BIGINT AS active_connections FROM r)
+    UNPIVOT s ON COLUMNS(*) INTO NAME name VALUE value""")
+def _(spark, d):
+    """STATS of a store with two compactions, by a clock that stands at the log's last instant."""
+    store = store_of(spark, d, Settings(), lambda s, at: s.state()["batches"]["events"] % 2 == 1 and s.compact(at))
+    return replay.stats(replay.replay(t.commands(spark, d)), store.counters())
+
+
+@query("kv_expiry_counters", f"""WITH {REPLAY} SELECT 'expired_reads' AS name, count(*) AS value FROM r WHERE op = 'READ' AND status = 'NOT_FOUND' AND head_op IN ('WRITE', 'WRITETTL')
+    UNION ALL SELECT 'expired_compacted', count(*) FROM (SELECT * FROM ({TTL}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE NOT tombstone AND expiry_ms <= (SELECT max({MS}) FROM events)""".replace("SELECT c5.seq, c5.key, op,", "SELECT c5.seq, c5.key, op, head AS head_op,"))
+def _(spark, d):
+    return replay.expiry_counters(replay.replay(t.commands(spark, d)), t.mutations(spark, d, ttl=True), now(spark, d))
+
+
+@query("kv_window_compaction", f"""SELECT "window", seq, key, CASE WHEN NOT gone THEN value END AS value, gone AS tombstone, CASE WHEN NOT gone THEN expiry_ms END AS expiry_ms
+    FROM (SELECT *, ts_ms // 86400000 AS "window", tombstone OR coalesce(expiry_ms <= (SELECT max({MS}) FROM events), false) AS gone FROM ({TTL}) QUALIFY row_number() OVER (PARTITION BY ts_ms // 86400000, key ORDER BY seq DESC) = 1)""")
+def _(spark, d):
+    return compaction.merge_by_window(t.mutations(spark, d, ttl=True), 86_400_000, now(spark, d)).select("window", "seq", "key", "value", "tombstone", "expiry_ms")
+
+
+SHARD = "(SELECT key, arg_max(s, md5(key || '#' || s)) AS shard FROM (SELECT key FROM {log}), range({n}) r(s) GROUP BY key)"
+
+
+@query("kv_shards", f"SELECT key, shard::INT AS shard FROM {SHARD.format(log=live_sql(TTL), n=8)}")
+def _(spark, d):
+    return reads.keys(t.mutations(spark, d, ttl=True), now(spark, d)).select("key", shards.by_hash(F.col("key"), 8).alias("shard"))
+
+
+@query("kv_shard_moves", f"SELECT a.key, a.shard::INT AS before, b.shard::INT AS after FROM {SHARD.format(log=live_sql(TTL), n=8)} a JOIN {SHARD.format(log=live_sql(TTL), n=9)} b USING (key) WHERE a.shard <> b.shard")
+def _(spark, d):
+    return shards.moved(reads.keys(t.mutations(spark, d, ttl=True), now(spark, d)), 8, 9)
+
+
+MODES = """SELECT mode, client::INT AS client, seq, op, CASE WHEN op = 'READ' AND (i + 1) * 600 // 2000 > i * 600 // 2000 THEN 'bench:missing:' ELSE 'bench:key:' END || lpad(i::VARCHAR, 8, '0') AS key FROM (
+    SELECT 'sequential' AS mode, 0 AS client, i AS seq, 'WRITE' AS op, i FROM range(2000) t(i) UNION ALL SELECT 'sequential', 0, i + 2000, 'READ', i FROM range(2000) t(i) UNION ALL SELECT 'sequential', 0, i + 4000, 'DELETE', i FROM range(200) t(i)
+    UNION ALL SELECT 'concurrent', i % 2, 2 * i, 'WRITE', i FROM range(2000) t(i) UNION ALL SELECT 'concurrent', 2 + i % 4, 2 * i + 1, 'READ', i FROM range(2000) t(i)
+    UNION ALL SELECT 'mixed', 0, 2 * i, 'WRITE', i FROM range(2000) t(i) UNION ALL SELECT 'mixed', 0, 2 * i + 1, 'READ', i FROM range(2000) t(i))"""
+
+
+def workloads(spark) -> DataFrame:
+    return reduce(DataFrame.unionByName, [measures.workload(spark, mode, 2000, 600, 200) for mode in ("sequential", "concurrent", "mixed")])
+
+
+@query("kv_workloads", MODES)
+def _(spark, d):
+    return workloads(spark).select("mode", "client", "seq", "op", "key")
+
+
+@query("kv_workload_statuses", f"SELECT mode, op, CASE WHEN key LIKE 'bench:missing:%' THEN 'NOT_FOUND' ELSE 'OK' END AS status, count(*) AS n FROM ({MODES}) GROUP BY ALL")
+def _(spark, d):
+    """Each mode's commands replayed by themselves."""
+    parts = [replay.replay(workloads(spark).where(F.col("mode") == mode)) for mode in ("sequential", "concurrent", "mixed")]
+    return reduce(DataFrame.unionByName, parts).groupBy("mode", "op", "status").agg(F.count("*").alias("n"))

@@ -9,6 +9,8 @@ COMMANDS = "seq long, ts_ms long, op string, key string, value string, ttl_s lon
 MANIFEST = "segment_id long, path string, strategy string, level int, bucket int, created_seq long, min_key string, max_key string, n_records long, n_tombstones long, bytes long"
 
 OPS = ("READ", "WRITE", "WRITETTL", "DELETE", "EXISTS", "LIST", "MGET", "MSET", "RANGE", "TTL", "COMPACT", "STATS", "PING")
+#: Commands by their number, from 1.
+CODES = ("READ", "WRITE", "DELETE", "COMPACT", "STATS", "LIST", "EXISTS", "PING", "MGET", "MSET", "RANGE", "TTL")
 #: Limits of keys, values and relative expiry; bytes of a record's fixed part and of an expiry.
 MAX_KEY, MAX_VALUE, MAX_TTL = 1 << 20, 5 << 20, (1 << 32) - 1
 RECORD_FIXED, RECORD_EXPIRY = 21, 8

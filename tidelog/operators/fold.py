@@ -31,12 +31,6 @@ def last_instant(log: DataFrame) -> int:
     return log.agg(F.max("ts_ms")).first()[0] or 0
 
 
-def with_dead(log: DataFrame) -> DataFrame:
-    """log with dead: a newer mutation of the key exists, or it is a tombstone. Joined by the newest seq, so no window sorts a hot key."""
-    last = log.groupBy("key").agg(F.max("seq").alias("newest_seq"))
-    return log.join(last, "key").withColumn("dead", (F.col("seq") < F.col("newest_seq")) | F.col("tombstone")).drop("newest_seq")
-
-
 def kept_expiry(log: DataFrame) -> DataFrame:
     """newest(), but a write without an expiry keeps the one that its key had (KEEPTTL), if the key still lived.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,16 +14,40 @@ def latency(samples: DataFrame, value: str, *by: str) -> DataFrame:
     return samples.groupBy(*by).agg(F.count("*").alias("n"), F.min(v).alias("low"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("high"), F.round(F.count("*") / (F.sum(v) / 1e6), 3).alias("ops_per_s"))
 
 
-def nearest_rank(samples: DataFrame, value: str, percent: int, *by: str) -> DataFrame:
-    """The sample at 0-based place min(n * percent div 100, n - 1) in order.
+def at_ranks(samples: DataFrame, value: str, places: dict[str, str], *by: str, buckets: int = 256) -> DataFrame:
+    """n (samples of a group) and, under the name of each place, the value there in order; a place is SQL over n, from 0.
 
-    Equal values are counted before they are ranked, so a window sorts one row for each different value of a group.
+    Equal values are counted first. Buckets are cut at values picked by hash; their counts tell which bucket of a group
+    holds a place, and only the values of that bucket are sorted, so no task sorts a whole group.
     """
-    counted = samples.groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = counted.select(*by, value, F.sum("c").over(w).alias("upto"), F.sum("c").over(Window.partitionBy(*by)).alias("n"))
-    place = F.least(F.expr(f"n * {int(percent)} div 100"), F.col("n") - 1)
-    return ranked.where(F.col("upto") > place).groupBy(*by).agg(F.first("n").alias("n"), F.min(value).alias(f"p{percent}"))
+    counted = samples.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    edges = sorted(r[0] for r in counted.select(value).distinct().orderBy(F.xxhash64(value), value).limit(buckets - 1).collect())
+    placed = counted.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(value))) if edges else F.lit(0))
+    w = Window.partitionBy(*by)
+    sums = placed.groupBy(*by, "bucket").agg(F.sum("c").alias("s"))
+    sums = sums.withColumns({"n": F.sum("s").over(w), "before": F.coalesce(F.sum("s").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.expr(sql).cast("long").alias("place")) for name, sql in places.items()]))
+    wanted = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("bucket").alias("_bucket"), "n", "s", "before", each.alias("x")).select("*", "x.name", "x.place").drop("x").where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("s")))
+    same = F.col("bucket") == F.col("_bucket")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = placed.join(wanted, same)
+    ranked = inside.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(*by, "bucket", "name").orderBy(value)))
+    found = ranked.where(F.col("upto") > F.col("place")).groupBy(*by, "name").agg(F.min(value).alias("v"), F.first("n").alias("n"))
+    return found.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in places])
+
+
+def nearest_rank(samples: DataFrame, value: str, percent: int, *by: str) -> DataFrame:
+    """The sample at 0-based place min(n * percent div 100, n - 1) in order."""
+    return at_ranks(samples, value, {f"p{percent}": f"least(n * {int(percent)} div 100, n - 1)"}, *by)
+
+
+def quantiles(samples: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """Values at shares of a group, between neighbours in proportion."""
+    places = {f"{n}_{side}": f"{side}((n - 1) * {q}D)" for n, q in shares.items() for side in ("floor", "ceil")}
+    found = at_ranks(samples, value, places, *by)
+    at = lambda n: (F.col("n") - 1) * F.lit(shares[n])
+    return found.select(*by, *[(F.col(f"{n}_floor") + (F.col(f"{n}_ceil") - F.col(f"{n}_floor")) * (at(n) - F.floor(at(n)))).alias(n) for n in shares])
 
 
 def misses(replayed: DataFrame, *by: str) -> DataFrame:
@@ -60,6 +86,28 @@ def zipf(spark: SparkSession, draws: int, n: int, s: float = 1.0) -> DataFrame:
     return spark.range(draws).select(F.col("id").alias("i"), F.least(F.floor(x) - 1, F.lit(n - 1)).cast("long").alias("rank"))
 
 
+def workload(spark: SparkSession, mode: str, n: int, n_misses: int, n_deletes: int = 0, writers: int = 2, readers: int = 4) -> DataFrame:
+    """The commands of a benchmark mode: mode, client, seq, ts_ms, op, key, value, ttl_s.
+
+    sequential: n writes, then n reads, then n_deletes deletes, by one client; concurrent: writers write while readers
+    read the key written just before; mixed: one client writes and reads by turns. Misses are spread evenly over the reads.
+    """
+    asked = bench_keys(spark, n, n_misses)
+    written = bench_keys(spark, n)
+    i = F.col("i")
+    if mode == "sequential":
+        parts = [(written, "WRITE", i, F.lit(0)), (asked, "READ", i + n, F.lit(0)), (written.where(i < n_deletes), "DELETE", i + 2 * n, F.lit(0))]
+    elif mode == "concurrent":
+        parts = [(written, "WRITE", 2 * i, i % writers), (asked, "READ", 2 * i + 1, writers + i % readers)]
+    elif mode == "mixed":
+        parts = [(written, "WRITE", 2 * i, F.lit(0)), (asked, "READ", 2 * i + 1, F.lit(0))]
+    else:
+        raise ValueError(f"unknown mode: {mode}")
+    value = lambda op: F.concat(F.lit("v"), i.cast("string")) if op == "WRITE" else F.lit(None).cast("string")
+    made = [df.select(F.lit(mode).alias("mode"), client.cast("int").alias("client"), seq.alias("seq"), seq.alias("ts_ms"), F.lit(op).alias("op"), "key", value(op).alias("value"), F.lit(None).cast("long").alias("ttl_s")) for df, op, seq, client in parts]
+    return reduce(DataFrame.unionByName, made)
+
+
 def survivors(spark: SparkSession, n: int, stride: int) -> DataFrame:
     """Keys left after every stride-th of n is deleted."""
     every = bench_keys(spark, n).select("i", "key")

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import scratch
+
 
 def sizes(log: DataFrame, codecs: tuple[str, ...] = ("none", "snappy", "zstd")) -> DataFrame:
     """codec, bytes, ratio to none. Files go to the folder that the cluster shares and are deleted again."""
     spark = log.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-")
     found = {}
     for codec in codecs:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/codec-{uuid.uuid4().hex}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark, "codec"))
         log.write.option("compression", codec).parquet(path.toString())
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         found[codec] = fs.getContentSummary(path).getLength()
