@@ -22,11 +22,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with row_id, which names each row and is the same in every scan: a Parquet file and the row's place in it."""
+    """The columns of docs, and row_id, which names each row and is the same in every scan: a Parquet file and the row's place in it."""
     try:
-        return docs.select("*", F.concat_ws(":", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("row_id"))
+        return docs.select(*COLUMNS, F.concat_ws(":", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("row_id"))
     except AnalysisException:  # not a scan of Parquet
-        return numbered(stored(docs))
+        return numbered(stored(docs.select(*COLUMNS)))
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
