@@ -50,6 +50,8 @@ LENGTHS = {
 }
 #: Keys whose form alone gives them away.
 KEY = re.compile(r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk-[A-Za-z0-9_-]{20,255}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9_-])")
+#: What a text must hold for the patterns beside them to be tried at all.
+DIGIT, STARTS = re.compile("[0-9]"), ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "AIza", "eyJ")
 PRIVATE, CLOSE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----"), re.compile(r"-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\x20?[=:]\x20?[\"']?([A-Za-z0-9+/_.=-]{16,})")
@@ -97,6 +99,8 @@ def base_spans(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, i
             if start < m[0]:
                 found.append((start, "email", m[1]))
                 last = m[1]
+    if not DIGIT.search(text):
+        return found, failed
     for m in IP.finditer(text):
         if all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in m.group().split(".")):
             found.append((m.start(), "ip", m.end()))
@@ -136,6 +140,28 @@ def account_end(text: str, start: int) -> int | None:
 def added_spans(text: str, failed: list[tuple[int, int]]) -> list[tuple[int, str, int, float]]:
     """(start, kind, end, score) of what is no base span."""
     out = []
+    if ":" in text:
+        for m in IPV6.finditer(text):
+            try:
+                ipaddress.IPv6Address(m.group())
+            except ValueError:
+                continue
+            if max(map(len, m.group().split(":"))) >= 3 and m.group().count(":") > 1:
+                out.append((m.start(), "ipv6", m.end(), START["ipv6"]))
+    if "=" in text or ":" in text:
+        for m in SECRET.finditer(text):
+            s = m.group(1)
+            out.append((m.start(1), "secret", m.end(1), START["secret"] + (0.4 if entropy(s) > 3 and any(c.isdigit() for c in s) else -0.2)))
+    if any(s in text for s in STARTS):
+        for m in KEY.finditer(text):
+            out.append((m.start(), "secret", m.end(), START["secret"] + 0.4))
+    if "-----BEGIN " in text:
+        ends = [m.end() for m in CLOSE.finditer(text)]
+        for m in PRIVATE.finditer(text):
+            after = bisect_left(ends, m.end())
+            out.append((m.start(), "secret", ends[after] if after < len(ends) else m.end(), START["secret"] + 0.5))
+    if not DIGIT.search(text):
+        return out
     for lo, hi in failed:  # several numbers in a row: each group by itself
         for m in GROUP.finditer(text, lo, hi):
             digits = digits_of(m.group())
@@ -146,14 +172,6 @@ def added_spans(text: str, failed: list[tuple[int, int]]) -> list[tuple[int, str
             out.append((m.start(), "card", m.end(), START["card"] + 0.3))
     for m in NATIONAL.finditer(text):
         out.append((m.start(), "phone", m.end(), START["phone"]))
-    if ":" in text:
-        for m in IPV6.finditer(text):
-            try:
-                ipaddress.IPv6Address(m.group())
-            except ValueError:
-                continue
-            if max(map(len, m.group().split(":"))) >= 3 and m.group().count(":") > 1:
-                out.append((m.start(), "ipv6", m.end(), START["ipv6"]))
     for m in IBAN.finditer(text):
         if (end := account_end(text, m.start())) and mod97(text[m.start() : end].replace(" ", "")):
             out.append((m.start(), "iban", end, START["iban"] + 0.4))
@@ -161,16 +179,6 @@ def added_spans(text: str, failed: list[tuple[int, int]]) -> list[tuple[int, str
         area, group, serial = m.group().split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
             out.append((m.start(), "ssn", m.end(), START["ssn"] + 0.1))
-    for m in SECRET.finditer(text):
-        s = m.group(1)
-        out.append((m.start(1), "secret", m.end(1), START["secret"] + (0.4 if entropy(s) > 3 and any(c.isdigit() for c in s) else -0.2)))
-    for m in KEY.finditer(text):
-        out.append((m.start(), "secret", m.end(), START["secret"] + 0.4))
-    if "-----BEGIN " in text:
-        ends = [m.end() for m in CLOSE.finditer(text)]
-        for m in PRIVATE.finditer(text):
-            after = bisect_left(ends, m.end())
-            out.append((m.start(), "secret", ends[after] if after < len(ends) else m.end(), START["secret"] + 0.5))
     return out
 
 
