@@ -28,7 +28,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Bits that a symbol takes in a pair key, and the words and symbols that a task keeps at most.
-SHIFT, KEEP_WORDS, KEEP_SYMBOLS = 20, 150_000, 1_500_000
+SHIFT, KEEP_WORDS, KEEP_SYMBOLS = 20, 250_000, 2_500_000
 #: Symbols of a word from which on its pairs are kept by rank.
 LONG = 256
 
@@ -187,27 +187,29 @@ def merged(symbols: np.ndarray, lengths: np.ndarray, voc: Vocabulary) -> tuple[n
         return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
     count = len(lengths)
     word = np.repeat(np.arange(count), lengths)
-    none = NONE
     done_symbols, done_words = [], []
+    at, rank = np.zeros(len(symbols), np.int64), np.full(len(symbols), NONE)  # of the pair that begins at each symbol
+    symbols, changed = symbols.copy(), np.flatnonzero(word[1:] == word[:-1])
     while len(symbols):
+        at[changed], rank[changed] = looked_up(symbols[changed], symbols[changed + 1], voc)
         starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        at, rank = looked_up(symbols[:-1], symbols[1:], voc)
-        rank = np.append(np.where(word[1:] == word[:-1], rank, none), none)
-        least = np.minimum.reduceat(rank, starts)
-        per_symbol = np.repeat(least, np.diff(np.r_[starts, len(symbols)]))
-        over = per_symbol == none
-        if over.any():
-            done_symbols.append(symbols[over])
-            done_words.append(word[over])
-        here = np.flatnonzero((rank == per_symbol) & ~over)
+        per_symbol = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(symbols)]))
+        keep = per_symbol != NONE
+        if not keep.all():
+            done_symbols.append(symbols[~keep])
+            done_words.append(word[~keep])
+        here = np.flatnonzero((rank == per_symbol) & keep)
         if not len(here):
             break
         here = alternate(here, np.r_[False, here[1:] == here[:-1] + 1])
-        symbols = symbols.copy()
         symbols[here] = voc.made[at[here]]
-        keep = ~over
         keep[here + 1] = False
-        symbols, word = symbols[keep], word[keep]
+        fresh = np.zeros(len(symbols), bool)  # pairs that have a merged symbol: they are looked up again
+        fresh[here] = True
+        symbols, word, at, rank, fresh = symbols[keep], word[keep], at[keep], rank[keep], fresh[keep]
+        fresh[:-1] |= fresh[1:]
+        rank[fresh] = NONE
+        changed = np.flatnonzero(fresh[:-1] & (word[1:] == word[:-1]))
     flat = np.concatenate(done_symbols) if done_symbols else np.zeros(0, np.int64)
     owner = np.concatenate(done_words) if done_words else np.zeros(0, np.int64)
     return flat[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=count)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step decodes and works on; a longer single document is a step of its own.
-CHUNK_BYTES = 500_000
+CHUNK_BYTES = 800_000
 #: Bytes and rows of an Arrow batch between Spark and Python; a session with smaller ones keeps them.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 4000
 
