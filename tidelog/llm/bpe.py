@@ -8,7 +8,8 @@ rank instead, and a step takes all places of its lowest rank and looks up only t
 run of a million letters costs time nearly in proportion.
 
 Defined results: a null text counts as empty; an empty text has no tokens; special strings inside a text are single
-tokens, as in the library's default. Repeated words cost one lookup: a task keeps the words it has met, up to a bound.
+tokens, as in the library's default; an input column named as an output is replaced. Repeated words cost one lookup: a
+task keeps the words it has met, up to a bound.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ the hash of their key and one for each key, so that a rare language has its rows
 
 Defined results: without a letter in it a text (so also a null or empty one) is "und" with confidence 1; missing
 declarations, addresses and hosts are no evidence; ties go to the first language by name; a text is markup if it has an
-<html tag: its first one may declare a language, and tags are no words of it. Rejected (kept is false) are
+<html tag: its first one may declare a language, and tags are no words of it; columns other than those named in the
+call are left out. Rejected (kept is false) are
 texts that are "und" or whose best language has a posterior under KEEP_FROM.
 """
 

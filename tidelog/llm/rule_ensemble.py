@@ -8,7 +8,8 @@ Bound. The fit takes at most `sample` labelled rows, chosen by a hash of doc_id,
 (crc32 of doc_id's decimal text, mod FOLDS, is 0). Statistics are the only inputs; scores cover every row and whole texts.
 
 Defined results: null and empty texts have all-zero shares and get a score as any other; without labels of both kinds
-the score is the share of good labels, 0.5 if there are none; rows with a null doc_id are scored and not held out.
+the score is the share of good labels, 0.5 if there are none; rows with a null doc_id are scored and not held out; equal
+labels of a doc_id count once; input columns named as a statistic, score or predicted are replaced.
 """
 
 from __future__ import annotations
