@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .fold import live
 
-#: Request keys that may be broadcast.
-BROADCAST_KEYS = 100_000
+#: Bytes of request keys that may be broadcast, and what a key costs besides its own.
+BROADCAST_BYTES, KEY_BYTES = 32 << 20, 64
 
 
 class Unsupported(ValueError):
@@ -36,10 +36,10 @@ def keys(log: DataFrame, as_of_ms: int) -> DataFrame:
 
 
 def asked(log: DataFrame, probes: DataFrame) -> DataFrame:
-    """The part of the log that can answer probes; a semi join, by broadcast if the probes are counted few."""
+    """The part of the log that can answer probes; a semi join, by broadcast if the probes' keys are measured to be small."""
     wanted = probes.select("key").distinct()
-    few = probes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return log.join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
+    size = probes.agg(F.sum(F.coalesce(F.octet_length("key"), F.lit(0)) + KEY_BYTES)).first()[0] or 0
+    return log.join(F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted, "key", "left_semi")
 
 
 def mget(log: DataFrame, probes: DataFrame, as_of_ms: int) -> DataFrame:
