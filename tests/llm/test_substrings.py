@@ -55,7 +55,7 @@ def test_nodes_equal_brute_force():
     rng = random.Random(6)
     base = [rng.choice("ab").encode() for _ in range(200)]
     lists = [base[i : i + n] for i, n in ((0, 92), (10, 60), (10, 90), (150, 50), (0, 49))] + [[b"x"] * 70, [b"x"] * 55, [b"y"] + [b"x"] * 64]
-    segment, place, node, depth = substrings.suffix_nodes(lists)
+    segment, place, node, depth, _ = substrings.suffix_nodes(lists)
     suffixes = [lists[s][p:] for s, p in zip(segment.tolist(), place.tolist(), strict=True)]
     every = [w[i:] for w in lists for i in range(len(w) - 49)]
     assert sorted(suffixes) == sorted(every) and suffixes == sorted(suffixes, key=lambda w: [substring_code(lists, x) for x in w])
@@ -73,6 +73,33 @@ def substring_code(lists, word):
     return list(dict.fromkeys(x for w in lists for x in w)).index(word)
 
 
+@pytest.mark.parametrize("most", [200_000, 150, 1])
+def test_repeats_are_shared_and_cover_what_is_removed(spark, monkeypatch, most):
+    monkeypatch.setattr(substrings, "GROUP_WORDS", most)
+    rows = planted()
+    docs = {}
+    for d, t in rows:
+        if d is not None:
+            docs.setdefault(tuple((t or "").split()), []).append(d)
+    texts = {min(ids): w for w, ids in docs.items()}  # of equal texts the first
+    found = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {d: [False] * len(w) for d, w in texts.items()}
+    for r in found:
+        words = tuple(r.words.split(" "))
+        holders = []
+        assert len(words) == r.n_words >= 50
+        for d, w in texts.items():
+            at = [i for i in range(len(w) - len(words) + 1) if w[i : i + len(words)] == words]
+            holders += [d] if at else []
+            for i in at if d > r.least else ():
+                covered[d][i : i + len(words)] = [True] * len(words)
+        assert {r.least, r.most} <= set(holders) and r.least < r.most
+    removed = {d: n for d, _, n, _ in brute([(d, " ".join(w)) for d, w in texts.items()])}
+    if most > 1:  # whole windows need no left neighbour to be told
+        assert {n for n in (r.n_words for r in found)} - {50}
+    assert {d: sum(c) for d, c in covered.items()} == removed
+
+
 def test_empty(spark):
     from tidelog.llm import queries
 

@@ -14,9 +14,10 @@ smallest document under the node keeps the run. The tree is built in parts:
             prefix of that length. What a longer prefix leaves to a single document is dropped;
   subtrees  a task takes whole groups up to a bounded number of words, sorts their suffixes (ranks of prefixes of 1, 2, 4
             ... 64 words) and takes the longest common prefixes of neighbours. A run of neighbours with 50 or more is an
-            internal node of the suffix tree; the least of them is the node's depth: its words are a repeat that no
-            further word to the right would leave as frequent, and its leaves know the smallest doc_id that has it.
-            Prefixes of 50 words are such nodes already: a grouped minimum serves them.
+            internal node of the suffix tree; the least of them is its depth, and its leaves know the smallest doc_id
+            that has its words. The nodes below it are the deeper ones; those whose suffixes differ in the word before
+            them are the maximal repeats, which repeats() returns. Prefixes of 50 words are such nodes already: a
+            grouped minimum serves them.
 
 Defined results: a null text counts as empty; texts under 50 words lose nothing; a null doc_id neither takes nor loses
 words; rows with one doc_id are one document, so repeated rows lose nothing to each other; other columns are left out.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -111,9 +113,10 @@ def scan(docs: DataFrame) -> DataFrame:
     return with_text_columns(docs, fields, make, keep=["doc_id"])
 
 
-def suffix_nodes(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def suffix_nodes(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The suffixes of all segments that hold a window: segment and place of each, in the order of their words, the number
-    of its internal node of depth WINDOW or more (those that share no window have one alone), and the depths of the nodes."""
+    of its topmost node of depth WINDOW or more (those that share no window have one alone), the depths of these nodes, and
+    the longest common prefixes of neighbours."""
     flat, counts = coded(lists)
     n = len(flat)
     left = np.repeat(np.cumsum(counts), counts) - np.arange(n)
@@ -144,44 +147,84 @@ def suffix_nodes(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.n
     np.minimum.at(depth, node[1:][inner], common[inner])
     segment = np.repeat(np.arange(len(counts)), counts)
     place = starts - (np.cumsum(counts) - counts)[segment[starts]]
-    return segment[starts], place, node, depth
+    return segment[starts], place, node, depth, common
 
 
 def deep_nodes(lists: list[list[bytes]], least: np.ndarray) -> list[np.ndarray]:
     """For each window of each segment, the smallest doc_id of the node of depth 50 or more under which its suffix stands."""
-    segment, place, node, depth = suffix_nodes(lists)
+    segment, place, node, depth, _ = suffix_nodes(lists)
     low = np.full(len(depth), np.iinfo(np.int64).max)
     np.minimum.at(low, node, least[segment])
     order = np.lexsort((place, segment))
     return np.split(low[node[order]], np.cumsum(np.bincount(segment, minlength=len(lists)))[:-1])
 
 
-def subtrees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by key; the last group of a step waits for the next."""
-    held: list[pd.DataFrame] = []
-    size = 0
-
-    def done(rows: pd.DataFrame) -> pd.DataFrame:
-        lows = deep_nodes([w.split(b" ") for w in rows["words"]], rows["least"].to_numpy())
-        return pd.DataFrame({"seg": rows["seg"].to_numpy(), "at": 0, "lows": [x.tolist() for x in lows]})
-
-    for frame in frames:
-        frame = frame.assign(size=frame["words"].map(lambda w: w.count(b" ") + 1))
-        while len(frame):  # a batch may hold more than a step
-            ends = frame["size"].cumsum().to_numpy() + size
-            cut = int(np.searchsorted(ends, STEP)) + 1
-            held.append(frame.iloc[:cut])
-            size = int(ends[min(cut, len(frame)) - 1])
-            frame = frame.iloc[cut:]
-            if size >= STEP:
-                rows = pd.concat(held)
-                whole = (rows["key"] != rows["key"].iloc[-1]).to_numpy()
-                if whole.any():
-                    yield done(rows[whole])
-                held = [rows[~whole]]
-                size = int(held[0]["size"].sum())
-    if held and size:
-        yield done(pd.concat(held))
+def lowest(rows: pd.DataFrame) -> pd.DataFrame:
+    found = deep_nodes([w.split(b" ") for w in rows["words"]], rows["least"].to_numpy())
+    return pd.DataFrame({"seg": rows["seg"].to_numpy(), "at": 0, "lows": [x.tolist() for x in found]})
+
+
+def internal_nodes(common: np.ndarray, leaves: list[tuple]) -> Iterator[tuple]:
+    """(depth, least, most, left, place) of all internal nodes of depth WINDOW or more, from the longest common prefixes of
+    neighbouring suffixes. leaves: (least, most, left, place) of each suffix, left being the word before it; a node's left
+    is None if its suffixes differ in that. place: where one of them is."""
+
+    def joined(a: tuple, b: tuple) -> tuple:
+        return min(a[0], b[0]), max(a[1], b[1]), a[2] if a[2] == b[2] else None, a[3]
+
+    stack: list[tuple[int, tuple]] = []
+    for i, leaf in enumerate(leaves):
+        depth, child = int(common[i]) if i < len(common) and common[i] >= WINDOW else 0, leaf
+        while stack and stack[-1][0] > depth:
+            top, node = stack.pop()
+            child = joined(node, child)
+            yield (top, *child)
+        if stack and stack[-1][0] == depth:
+            stack[-1] = (depth, joined(stack[-1][1], child))
+        elif depth:
+            stack.append((depth, child))
+
+
+def maximal(rows: pd.DataFrame) -> pd.DataFrame:
+    """The words of the internal nodes that two documents share and that no further word to the left would leave as frequent."""
+    lists = [w.split(b" ") for w in rows["words"]]
+    segment, place, _, _, common = suffix_nodes(lists)
+    least, most = rows["least"].tolist(), rows["most"].tolist()
+    # a segment's start is no word, so nothing to its left is common to others
+    leaves = [(least[s], most[s], lists[s][p - 1] if p else None, (s, p)) for s, p in zip(segment.tolist(), place.tolist(), strict=True)]
+    found = [(lists[s][p : p + depth], depth, a, b) for depth, a, b, left, (s, p) in internal_nodes(common, leaves) if left is None and a < b]
+    single = [(w, len(w), a, b) for w, a, b in zip(lists, least, most, strict=True) if a < b]  # several documents hold the whole segment
+    every = found + single
+    words, sizes, lows, highs = zip(*every, strict=True) if every else ((), (), (), ())
+    longs = {name: np.array(x, dtype=np.int64) for name, x in (("n_words", sizes), ("least", lows), ("most", highs))}
+    return pd.DataFrame({"words": pd.Series([b" ".join(w) for w in words], dtype=object), **longs})
+
+
+def by_group(done):
+    """done() of whole groups. Rows come sorted by key; the last group of a step waits for the next."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for frame in frames:
+            frame = frame.assign(size=frame["words"].map(lambda w: w.count(b" ") + 1))
+            while len(frame):  # a batch may hold more than a step
+                ends = frame["size"].cumsum().to_numpy() + size
+                cut = int(np.searchsorted(ends, STEP)) + 1
+                held.append(frame.iloc[:cut])
+                size = int(ends[min(cut, len(frame)) - 1])
+                frame = frame.iloc[cut:]
+                if size >= STEP:
+                    rows = pd.concat(held)
+                    whole = (rows["key"] != rows["key"].iloc[-1]).to_numpy()
+                    if whole.any():
+                        yield done(rows[whole])
+                    held = [rows[~whole]]
+                    size = int(held[0]["size"].sum())
+        if held and size:
+            yield done(pd.concat(held))
+
+    return work
 
 
 def longer(prefix: int):
@@ -263,59 +306,80 @@ def concerned(texts: DataFrame, rows: DataFrame) -> DataFrame:
     return texts.join(rows, "doc_id")
 
 
-def lows(segments: DataFrame) -> DataFrame:
-    """(seg, parts): of the windows of each segment the smallest doc_id that has them, in parts (at, lows): from place `at` on. Windows of one document may be missing.
+def partitioned(segments: DataFrame) -> tuple[list[tuple[DataFrame, bool]], list[DataFrame]]:
+    """The groups by the length of their prefixes, each with whether its prefix is a whole window, and which piece of the
+    next length stands where in which segment (parent, place, seg).
 
     segments: key, seg, words, size, doc_id, several rows for a segment that several documents have.
     """
     once = [F.first(c).alias(c) for c in ("words", "size")]
     now = stored(segments.groupBy("key", "seg").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *once).withColumn("gram", F.col("key")))
-    found, links = [], []
-    for prefix in (*PREFIXES, None):
-        full = None
-        if prefix:
-            full = stored(now.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).where((F.col("size") > GROUP_WORDS) & (F.col("n") > 1)).select("key"))
-            if full.isEmpty():
-                prefix = None
-        fit = now if prefix is None else now.join(full, "key", "left_anti")
-        leaf = bool(links) and links[-1][1] == WINDOW
-        if leaf:
-            found.append(now.select("seg", F.lit(0).cast("long").alias("at"), F.array("least").alias("lows")))
-        else:
-            found.append(fit.select("key", "seg", "least", "words").repartition("key").sortWithinPartitions("key").mapInPandas(subtrees, "seg long, at long, lows array<long>"))
-        if prefix is None:
-            break
+    groups: list[tuple[DataFrame, bool]] = []
+    links: list[DataFrame] = []
+    for prefix in PREFIXES:
+        full = stored(now.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).where((F.col("size") > GROUP_WORDS) & (F.col("n") > 1)).select("key"))
+        if full.isEmpty():
+            return [*groups, (now, False)], links
+        groups.append((now.join(full, "key", "left_anti"), False))
         cut = now.join(full, "key", "left_semi").select("seg", "gram", "words", "least", "most")
         made = cut.mapInPandas(longer(prefix), "parent long, place long, gram long, key long, words binary, size long, least long, most long")
         made = stored(made.withColumn("seg", F.xxhash64("key", F.sha2("words", 256))))
-        links.append((made.select("parent", "place", "seg"), prefix))
+        links.append(made.select("parent", "place", "seg"))
         # Equal pieces collapse where they are before any are brought together.
         different = stored(made.groupBy("key", "seg").agg(F.min("least").alias("least"), F.max("most").alias("most"), *once, F.first("gram").alias("gram")))
         shared = different.groupBy("key").agg(F.min("least").alias("a"), F.max("most").alias("b")).where("a < b").select("key")
         now = stored(different.join(shared, "key", "left_semi"))
-    out, together = found.pop(), False
+    return [*groups, (now, True)], links
+
+
+def trees(group: DataFrame, done, schema: str) -> DataFrame:
+    return group.select("key", "seg", "least", "most", "words").repartition("key").sortWithinPartitions("key").mapInPandas(by_group(done), schema)
+
+
+def lows(segments: DataFrame) -> DataFrame:
+    """(seg, parts): of the windows of each segment the smallest doc_id that has them, in parts (at, lows): from place `at` on. Windows of one document may be missing."""
+    groups, links = partitioned(segments)
+    found = [g.select("seg", F.lit(0).cast("long").alias("at"), F.array("least").alias("lows")) if leaf else trees(g, lowest, "seg long, at long, lows array<long>") for g, leaf in groups]
+    out, together = found.pop(), bool(links)
     while found:
-        link, _ = links.pop()
-        out = found.pop().unionByName(link.join(out, "seg").select(F.col("parent").alias("seg"), (F.col("place") + F.col("at")).alias("at"), "lows"))
-        together = True
+        out = found.pop().unionByName(links.pop().join(out, "seg").select(F.col("parent").alias("seg"), (F.col("place") + F.col("at")).alias("at"), "lows"))
     part = F.struct("at", "lows")
     return out.groupBy("seg").agg(F.collect_list(part).alias("parts")) if together else out.select("seg", F.array(part).alias("parts"))
 
 
-def removals(docs: DataFrame, column: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(all, changed). all: doc_id, n_words, sha of all words, n_removed for every row of docs. changed: doc_id, sha,
-    n_removed and kept, the text that is left, for documents that lose some words but are no copies."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(column).alias("text"))
-    seen = stored(scan(texts))
-    first = stored(seen.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
-    classed = spread_join(seen.select("doc_id", "n_words", "sha"), first, "sha", "rows")
+def shared_segments(texts: DataFrame, seen: DataFrame, first: DataFrame) -> DataFrame:
+    """(doc_id, sha, key, start, words, size, seg): the segments of texts (of equal ones the first) whose gram another text has too."""
     own = seen.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW)).join(first.select(F.col("sha"), F.col("least").alias("doc_id")), ["sha", "doc_id"], "left_semi").dropDuplicates(["doc_id", "sha"])
     runs = own.select("doc_id", "sha", F.inline(F.arrays_zip("keys", "starts", "ends"))).withColumnsRenamed({"keys": "key", "starts": "start", "ends": "end"})
     shared = runs.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
     by_doc = stored(runs.join(shared, "key", "left_semi").groupBy("doc_id", "sha").agg(F.collect_list(F.struct("key", "start", "end")).alias("runs")))
     held = concerned(texts.where(F.col("text").isNotNull()), by_doc)
-    segments = stored(cut_segments(held).distinct().withColumn("seg", F.xxhash64("key", F.sha2("words", 256))))
+    return stored(cut_segments(held).distinct().withColumn("seg", F.xxhash64("key", F.sha2("words", 256))))
+
+
+def scanned(docs: DataFrame, column: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """texts, seen (what scan() finds) and first (the smallest doc_id and the number of rows of equal texts)."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(column).alias("text"))
+    seen = stored(scan(texts))
+    return texts, seen, stored(seen.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
+
+
+def repeats(docs: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
+    """(words, n_words, least, most): the repeats of 50 words or more between different texts, with the smallest and largest
+    doc_id that has each. A repeat is maximal within its segment: one that runs on is told in overlapping pieces."""
+    groups, _ = partitioned(shared_segments(*scanned(docs, column, key)))
+    whole = ["words", F.lit(WINDOW).cast("long").alias("n_words"), "least", "most"]
+    found = [g.where("least < most").select(*whole) if leaf else trees(g, maximal, "words binary, n_words long, least long, most long") for g, leaf in groups]
+    return reduce(DataFrame.unionByName, found).groupBy(F.col("words").cast("string").alias("words"), "n_words").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def removals(docs: DataFrame, column: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(all, changed). all: doc_id, n_words, sha of all words, n_removed for every row of docs. changed: doc_id, sha,
+    n_removed and kept, the text that is left, for documents that lose some words but are no copies."""
+    texts, seen, first = scanned(docs, column, key)
+    classed = spread_join(seen.select("doc_id", "n_words", "sha"), first, "sha", "rows")
+    segments = shared_segments(texts, seen, first)
     found = segments.select("doc_id", "sha", "start", "seg").join(lows(segments), "seg")
     earlier = F.expr("flatten(transform(parts, p -> filter(transform(p.lows, (x, i) -> CASE WHEN x < doc_id THEN p.at + i END), x -> x IS NOT NULL)))")
     covered = found.select("doc_id", "sha", "start", earlier.alias("places")).where(F.size("places") > 0)
